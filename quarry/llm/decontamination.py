@@ -125,7 +125,13 @@ def shard_matches(index: Items, texts: pa.Array) -> dict:
                 full[alive] = np.maximum(full[alive], length)
     starts = offs[:-1] + np.arange(n)
     text = np.searchsorted(starts, pos, "right") - 1
-    return {"n_words": np.diff(offs), "text": text, "start": pos - starts[text] if len(pos) else pos, "size": index.size[window], "window": window, "full": full}
+    return {"text_hash": text_hashes(h, offs), "n_words": np.diff(offs), "text": text, "start": pos - starts[text] if len(pos) else pos, "size": index.size[window], "window": window, "full": full}
+
+
+def text_hashes(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each text's words in order."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(kernel.mix(h + (np.arange(len(h)) - np.repeat(offs[:-1], np.diff(offs))).astype(np.uint64)))])
+    return (total[offs[1:]] - total[offs[:-1]]).view(np.int64)
 
 
 def covered(n: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -142,7 +148,7 @@ def digest(names: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
-SCHEMA = "n_words long, n_hit long, n_items long, items array<string>, longest_match long, match_start long, matches array<long>"
+SCHEMA = "n_words long, n_hit long, n_items long, items array<string>, longest_match long, match_start long, text long, matches array<long>"
 
 
 def _scan(index: Items, with_matches: bool):
@@ -164,8 +170,8 @@ def _scan(index: Items, with_matches: bool):
                     for t, s, z in sorted({*zip(text.tolist(), start.tolist(), m["size"].tolist(), strict=True)}):
                         spans[t] += [s, s + z]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(m["n_words"], pa.int64()), pa.array(covered(m["n_words"], text, start, m["size"]), pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(where, pa.int64(), mask=where < 0), pa.array(spans, pa.list_(pa.int64()))],
-                    names=["id", "n_words", "n_hit", "n_items", "items", "longest_match", "match_start", "matches"],
+                    [batch.column(0).slice(at, n), pa.array(m["n_words"], pa.int64()), pa.array(covered(m["n_words"], text, start, m["size"]), pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(where, pa.int64(), mask=where < 0), pa.array(m["text_hash"], pa.int64()), pa.array(spans, pa.list_(pa.int64()))],
+                    names=["id", "n_words", "n_hit", "n_items", "items", "longest_match", "match_start", "text", "matches"],
                 )
 
     return scan
@@ -204,13 +210,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "
 
 
 def _merged(found: list[DataFrame]) -> DataFrame:
-    """Blocks of a large benchmark, merged: rows of a block keep their order, so a row number per id joins repeats."""
+    """Blocks of a large benchmark, merged by id and text; a repeated row has its result again."""
     union = found[0]
     for x in found[1:]:
         union = union.union(x)
-    key = [F.col("id"), F.col("n_words")]
+    blocks = len(found)
 
-    def join(key, rows):
+    def join(rows):
         import pandas as pd
 
         spans = sorted({(int(s[i]), int(s[i + 1])) for s in rows["matches"] for i in range(0, len(s), 2)})
@@ -220,10 +226,10 @@ def _merged(found: list[DataFrame]) -> DataFrame:
             upto = max(upto, b)
         names = sorted({x for s in rows["items"] for x in s})
         best = rows.sort_values(["longest_match", "match_start"], ascending=[False, True]).iloc[0]
-        one = {"id": best["id"], "n_words": best["n_words"], "n_hit": hit, "n_items": len(names), "items": names, "longest_match": best["longest_match"], "match_start": best["match_start"], "matches": [x for s in spans for x in s]}
-        return pd.DataFrame([one] * max(1, len(rows) // len(found)))
+        one = {"id": best["id"], "n_words": best["n_words"], "n_hit": hit, "n_items": len(names), "items": names, "longest_match": best["longest_match"], "match_start": best["match_start"], "text": best["text"], "matches": [x for s in spans for x in s]}
+        return pd.DataFrame([one] * max(1, len(rows) // blocks))
 
-    return union.groupBy(*key).applyInPandas(join, union.schema)
+    return union.groupBy("id", "n_words", "text").applyInPandas(join, union.schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
