@@ -24,11 +24,12 @@ SAMPLE = 10_000
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.05
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 3.0
-    l2: float = 1.0
-    epochs: int = 3
+    l1: float = 16.0
+    l2: float = 0.0
+    epochs: int = 8
+    positive: float = 3.0  # weight of a toxic row
 
 
 @dataclass(frozen=True)
@@ -67,7 +68,7 @@ def train(rows: list[tuple[np.ndarray, int]], ftrl: Ftrl = Ftrl(), bits: int = B
             zi, ni = z[at], n[at]
             root = np.sqrt(ni)
             w = np.where(np.abs(zi) <= ftrl.l1, 0.0, (np.sign(zi) * ftrl.l1 - zi) / ((ftrl.beta + root) / ftrl.alpha + ftrl.l2))
-            g = float(sigmoid(np.array(w.sum() + bias))) - label
+            g = (float(sigmoid(np.array(w.sum() + bias))) - label) * (ftrl.positive if label else 1.0)
             more = ni + g * g
             z[at] = zi + g - (np.sqrt(more) - root) / ftrl.alpha * w
             n[at] = more
