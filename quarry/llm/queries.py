@@ -21,7 +21,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_start")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,5 +54,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_decontamination, op4_embedding_dedup, op5_pii, op6_toxicity, op7_quality, op8_secrets, op9_licenses, op10_packing)}
 
-#: SQL by query, where SQL can express one.
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_REACHED = """reach AS (SELECT a AS x, a AS y FROM ids UNION SELECT r.x, l.b FROM reach r JOIN links l ON r.y = l.a),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)"""
+
+#: SQL by query, where SQL can express one: brute force, for small tables.
+ORACLE: dict[str, str] = {
+    "op1_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s),
+both AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM e x JOIN e y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both WHERE 10 * c >= 8 * (na + nb - c)), ids AS (SELECT doc_id AS a FROM documents), {_REACHED},
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT s.doc_id, len(g) AS n_grams, CASE WHEN len(g) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY g) END AS class_id, coalesce(n_links, 0) AS n_links, component_id, s.doc_id = component_id AS kept
+FROM s LEFT JOIN n ON s.doc_id = n.a JOIN comp ON comp.x = s.doc_id""",
+    "op3_decontamination": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(13, len(w)) AS n, array_to_string(w[p:p + least(13, len(w)) - 1], ' ') AS g FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(p) WHERE len(w) > 0),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+pos AS (SELECT doc_id, w, p, n FROM d, unnest(range(1, len(w) + 1)) AS t(p), (SELECT DISTINCT n FROM win) WHERE p + n - 1 <= len(w)),
+hit AS (SELECT doc_id, p, pos.n, item FROM pos JOIN win ON pos.n = win.n AND array_to_string(w[p:p + pos.n - 1], ' ') = win.g),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + n)) AS t(q) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op4_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))) >= 0.98),
+ids AS (SELECT vec_id AS a FROM embeddings), {_REACHED}, n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM embeddings m LEFT JOIN n ON m.vec_id = n.a JOIN comp ON comp.x = m.vec_id""",
+}
