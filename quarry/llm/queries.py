@@ -63,8 +63,8 @@ ORACLE: dict[str, str] = {
     "op1_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w),
 e AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM e x JOIN e y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM both WHERE 10 * c >= 8 * (na + nb - c)), ids AS (SELECT doc_id AS a FROM documents), {_REACHED},
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS c FROM e x JOIN e y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 10 * c >= 8 * (na + nb - c)), ids AS (SELECT doc_id AS a FROM documents), {_REACHED},
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT s.doc_id, len(g) AS n_grams, CASE WHEN len(g) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY g) END AS class_id, coalesce(n_links, 0) AS n_links, component_id, s.doc_id = component_id AS kept
 FROM s LEFT JOIN n ON s.doc_id = n.a JOIN comp ON comp.x = s.doc_id""",
