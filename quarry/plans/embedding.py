@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +88,6 @@ def embed(rows: DataFrame, provider: Provider, content: str = "content", batch:
 
 def xxh64(content: Column) -> Column:
     """The content's 64-bit xxHash with seed 0 in hex. Spark's own function has another seed, so this one is a pandas UDF."""
-    import pandas as pd
     import xxhash
 
     @F.pandas_udf("string")
