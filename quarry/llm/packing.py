@@ -25,8 +25,9 @@ from quarry.llm.bpe import WordBpe
 from quarry.llm.cluster import checkpoint
 
 SIZE, END = 4096, 1
-#: Rows that share a length and a salt, on average at most.
-SALT_ROWS = 20_000
+#: Rows that share a length and a salt, on average at most. Salts follow each length's own count, so there are no more groups than
+#: lengths and a row for every so many pieces.
+SALT_ROWS = 1_000
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -155,9 +156,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: s
     cut = checkpoint(cut_pieces(docs, doc_id=doc_id, text=text, path=path, size=size, end=end, with_ids=with_ids))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # size rows at most
     plan = best_two_fit(counts, size)
-    most = max(counts.values(), default=1)
-    salts = max(1, -(-most // SALT_ROWS))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts = docs.sparkSession.createDataFrame([(length, -(-n // SALT_ROWS)) for length, n in counts.items()], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     ranks = salted.withColumn("k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece")).cast("long") - 1)
     base = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     base = base.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "base")
