@@ -199,7 +199,9 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     dimensions don't link. Rows that repeat an id and vector are copies of each other. Other columns are ignored, whatever
     their names. An empty table gives an empty result.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("embedding"), F.col(label).alias("label"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats travel as floats; arithmetic is in doubles
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("embedding"), F.col(label).alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     cid = F.xxhash64("label", "embedding")
@@ -214,7 +216,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
         pivots.setdefault(len(r["embedding"]), []).append(r["embedding"])
     tables = {d: choose_pivots(np.array(v)) for d, v in pivots.items()}
     dealt = classes.join(size, "label").select("cid", "label", "embedding", "rep", "n_copies", "dim", "n", "k")
-    dealt = checkpoint(dealt.mapInArrow(_cells(tables), "cid long, label string, embedding array<double>, rep long, n_copies long, dim int, n long, k long, cell long, dist double"))
+    dealt = checkpoint(dealt.mapInArrow(_cells(tables), f"cid long, label string, embedding {kind}, rep long, n_copies long, dim int, n long, k long, cell long, dist double"))
     cells = dealt.groupBy("label", "cell", "dim", "k").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"), F.max("n").alias("label_n"))
     cells = cells.withColumn("salts", F.ceil(F.col("n") / block).cast("long"))
     tiles = _plan(cells, tables, threshold, block)
