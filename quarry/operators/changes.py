@@ -83,3 +83,10 @@ TRUNCATED = "\n... [TRUNCATED - content too large]"
 
 def truncated(chunks: DataFrame, most: int = 30_000) -> DataFrame:
     return chunks.withColumn("content", F.when(F.length("content") > most, F.concat(F.substring("content", 1, most), F.lit(TRUNCATED))).otherwise(F.col("content")))
+
+
+def long_terms(chunks: DataFrame, most: int, content: str = "content") -> DataFrame:
+    """Rows with a word of more than ``most`` bytes, which a term index refuses."""
+    from quarry.functions.text import SPACE
+
+    return chunks.filter(F.exists(F.split(content, SPACE), lambda w: F.octet_length(w) > most))

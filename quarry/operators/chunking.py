@@ -129,3 +129,21 @@ def chunk_files(files: DataFrame, key: list[str], content: str = "content", chun
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
     rest = files.filter(~small).select(*key, content).mapInArrow(cut, f"{kinds}, chunk_index int, content string, start_line int, end_line int")
     return one.unionByName(rest)
+
+
+def chunk_by_token_rows(files: DataFrame, key: list[str], content: str = "content", max_tokens: int = 2000, overlap_tokens: int = 200) -> DataFrame:
+    """Key, chunk_index, content. Files of no more characters than a chunk holds are one chunk by a native expression."""
+    chars = min(max_tokens * 5, CHUNK_BYTES // 3)
+    small = (F.length(content) <= chars) & (F.octet_length(content) <= CHUNK_BYTES)
+    one = files.filter(small).select(*key, F.lit(0).alias("chunk_index"), F.col(content).alias("content"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns - 1
+            for row, text in enumerate(batch.column(n).to_pylist()):
+                parts = chunk_by_tokens(text, max_tokens, overlap_tokens)
+                cols = [pa.array([batch.column(k)[row].as_py()] * len(parts), batch.column(k).type) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=[*batch.schema.names[:n], "chunk_index", "content"])
+
+    kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
+    return one.unionByName(files.filter(~small).select(*key, content).mapInArrow(cut, f"{kinds}, chunk_index int, content string"))

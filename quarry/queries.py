@@ -558,3 +558,80 @@ def complexity_of_documents(s, d):
 def directory_analysis(s, d):
     got = complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"])
     return complexity.directory_analysis(got).withColumn("average_maintainability", F.round("average_maintainability", 4))
+
+
+# ---- measures of detection and tuning, documented extensions
+
+
+@query(f"""WITH {FILES}, r AS (SELECT language AS t, CASE WHEN doc_id % 4 = 0 THEN 'python' ELSE language END AS p, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0.9 END AS c FROM files),
+tr AS (SELECT t, count(*) AS n, count(*) FILTER (t = p) AS hit, count(*) FILTER (c >= 0.8) AS high FROM r GROUP BY t), sd AS (SELECT p AS t, count(*) AS said FROM r GROUP BY p),
+e AS (SELECT tr.*, CASE WHEN coalesce(said, 0) = 0 THEN 0 ELSE hit / said END AS pr, hit / n AS re FROM tr LEFT JOIN sd ON tr.t = sd.t)
+SELECT round(sum(hit) * 100 / sum(n), 4) AS accuracy, round(sum(high) * 100 / sum(n), 4) AS high_confidence, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END), 6) AS f1 FROM e""")
+def detection_accuracy(s, d):
+    f = _files(s, d).select(F.col("language").alias("truth"), F.when(F.col("doc_id") % 4 == 0, "python").otherwise(F.col("language")).alias("said"), F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(0.9).alias("confidence"))
+    return stats.accuracy(f, "truth", "said", "confidence")
+
+
+@query(f"WITH {_METRIC}, x AS (SELECT *, {_MI} AS mi FROM m) SELECT l_orderkey, l_linenumber, CASE WHEN mi > 20 THEN 'good' WHEN mi >= 10 THEN 'moderate' ELSE 'poor' END AS mi_band, CASE WHEN cc <= 5 THEN 'simple' WHEN cc <= 10 THEN 'moderate' WHEN cc <= 20 THEN 'complex' WHEN cc <= 30 THEN 'very complex' ELSE 'extremely complex' END AS band, CASE WHEN cc <= 5 THEN 'A' WHEN cc <= 10 THEN 'B' WHEN cc <= 20 THEN 'C' WHEN cc <= 30 THEN 'D' WHEN cc <= 40 THEN 'E' ELSE 'F' END AS rank FROM x")
+def documented_bands(s, d):
+    x = _metric_rows(s, d).withColumn("mi", M.maintainability(F.col("cc"), F.col("loc"), F.col("cr")))
+    return x.select("l_orderkey", "l_linenumber", M.documented_mi_band(F.col("mi")).alias("mi_band"), M.documented_band(F.col("cc")).alias("band"), M.rank_of_complexity(F.col("cc")).alias("rank"))
+
+
+@query(f"WITH {_NODES}, m AS (SELECT *, CASE WHEN half LIKE '%ve%' THEN 1.0 ELSE 0.0 END AS meta FROM s) SELECT node_id, round(0.7::DOUBLE * score + (1 - 0.7::DOUBLE) * meta, 6) AS score FROM m WHERE node_id % 10 > 4")
+def metadata_operators(s, d):
+    rows = _nodes(s, d).withColumn("metadata", F.map_concat("metadata", F.create_map(F.lit("digit"), (F.col("node_id") % 10).cast("string"))))
+    rows = rows.filter(search.metadata_test(F.col("metadata"), "digit", {"$gt": 4}))
+    meta = F.when(search.metadata_test(F.col("metadata"), "half", {"$contains": "ve"}), 1.0).otherwise(0.0)
+    return rows.select("node_id", F.round(search.weighted_hybrid(search.similarity(_query_vector(s, d)), meta), 6).alias("score"))
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace(text, '{WS}', ' ', 'g'), ' ')) AS sanitized_md5 FROM documents WHERE list_max(list_transform(string_split_regex(text, '{WS}'), lambda w: octet_length(encode(w)))) > 24")
+def oversized_terms(s, d):
+    t = adapt.table(s, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return changes.long_terms(t, 24).select("doc_id", F.md5(T.sanitize(F.col("content"))).alias("sanitized_md5"))
+
+
+@query("SELECT event_id, least(CASE WHEN value < 10 THEN 1000 WHEN value < 100 THEN 100 ELSE 10 END, user_id) AS batch FROM events")
+def batch_sizes(s, d):
+    return adapt.table(s, d, "events").select("event_id", profiling.batch_size(F.col("value"), F.col("user_id")).cast("long").alias("batch"))
+
+
+@query("SELECT event_type, count(*) AS operations, round(sum(value), 4) AS total_ms, arg_max(event_id, (value, -event_id)) AS slowest, max(value) AS slowest_ms FROM events GROUP BY event_type")
+def profile_report(s, d):
+    e = adapt.table(s, d, "events").select("event_type", F.col("event_id").alias("operation"), F.col("value").alias("duration_ms"))
+    return profiling.report(e, "event_type").withColumn("total_ms", F.round("total_ms", 4))
+
+
+@query()
+def chunk_by_tokens(s, d):
+    return chunking.chunk_by_token_rows(adapt.table(s, d, "documents"), ["doc_id"], "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT doc_id, round(len(list_filter(regexp_extract_all(text, '[A-Za-z_]+'), lambda w: w IN ('def', 'class', 'import', 'self', 'lambda'))) / greatest(len(regexp_extract_all(text, '[A-Za-z_]+')), 1), 6) AS python, round(len(list_filter(regexp_extract_all(text, '[A-Za-z_]+'), lambda w: w IN ('public', 'class', 'void', 'static', 'extends'))) / greatest(len(regexp_extract_all(text, '[A-Za-z_]+')), 1), 6) AS java FROM documents")
+def keyword_shares(s, d):
+    return adapt.table(s, d, "documents").select("doc_id", *(F.round(detection.keyword_share(F.col("text"), g), 6).alias(g) for g in ("python", "java")))
+
+
+@query()
+def complexity_validation(s, d):
+    rows = complexity.validation(complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"]), {"max_complexity": 5})
+    return rows.select("doc_id", "language", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query()
+def find_complex_code(s, d):
+    hits = _sources(s, d).filter("doc_id % 2 = 0").select("doc_id", F.lit(1.0).alias("similarity"))
+    got = complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"])
+    return complexity.complex_hits(hits, got, ["doc_id"], threshold=5, nested=4).select("doc_id", "total_complexity", F.to_json("complex_functions").alias("complex_functions"))
+
+
+@query(f"WITH {CHANGES}, g AS (SELECT path, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY path ORDER BY ts, event_id) AS gap FROM ev) SELECT path, event_id, gap FROM g WHERE gap IS NOT NULL")
+def change_gaps(s, d):
+    return streaming.gaps(adapt.change_events(s, d)).filter("gap IS NOT NULL").select("path", "event_id", "gap")
+
+
+@query(f"WITH {FILES}, {CHUNKS}, {FILTERED} SELECT to_json({{'project': project_name, 'file': file_path, 'line': chunk_index}}) AS structured_content FROM cf WHERE chunk_id < 50")
+def tool_json(s, d):
+    rows = search.with_files(_chunks(s, d).filter("chunk_id < 50"), _files(s, d))
+    return rows.select(F.to_json(F.struct(F.col("project_name").alias("project"), F.col("file_path").alias("file"), F.col("chunk_index").alias("line"))).alias("structured_content"))

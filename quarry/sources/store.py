@@ -93,6 +93,19 @@ class Store:
         for t in ("files", "chunks"):
             fs.delete(path(f"{self.root}/{t}/project_name={project}"), True)
 
+    def stats(self, project: str) -> dict:
+        """What the index of a project holds: chunks with vectors, their dimensions, and files."""
+        r = self.read("chunks", project).agg(F.count(F.lit(1)).alias("chunks"), F.count("embedding").alias("vectors"), F.max(F.size("embedding")).alias("dimensions")).first()
+        return r.asDict() | {"similarity": "cosine"}
+
+    def optimize(self, project: str, target_mb: int = 128) -> None:
+        """Rewrite a project's tables in files of about ``target_mb``."""
+        fs, path = self._fs()
+        for t in ("files", "chunks"):
+            if versions := self._versions(t, project):
+                size = fs.getContentSummary(path(f"{self.root}/{t}/project_name={project}/{versions[-1]}")).getLength()
+                self.write(t, project, self.read(t, project).repartition(max(1, round(size / (target_mb << 20)))))
+
     def indexes(self) -> DataFrame:
         """What there is: table, project, version."""
         rows = [(t, p, v[-1]) for t in ("files", "chunks") for p in self.projects() if (v := self._versions(t, p))]

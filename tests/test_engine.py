@@ -158,6 +158,9 @@ def test_repository(spark, tmp_path):
     c = t.analyze_complexity("src/app/main.py")
     assert c["total_complexity"] == 3 and c["recommendations"] and "error" in t.analyze_complexity("README.md")
     assert other.get_repository_stats()["total_files"] == 4 and store.projects() == ["alpha", "beta"] and store.indexes().count() == 4
+    before = store.read("files", "alpha").count()
+    store.optimize("alpha")
+    assert store.read("files", "alpha").count() == before and store.stats("alpha")["vectors"] == store.stats("alpha")["chunks"] == 3
     json.dumps(t.monitoring_status(), default=str)
     store.drop("beta")
     assert store.projects() == ["alpha"]
