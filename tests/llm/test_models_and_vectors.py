@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quarry.llm import cluster, cover_tree, kernel, learning, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -167,29 +166,3 @@ def test_kernel_words():
     flat = [w for ws in want for w in ws]
     assert len(set(flat)) == len(set(h.tolist())) and len({*zip(flat, h.tolist(), strict=True)}) == len(set(flat))
     assert np.array_equal(kernel.words(pa.array(["pad", *texts]).slice(1))[0], h)
-
-
-def test_pipeline(spark):
-    docs = queries.table(spark, SF, "documents")
-    seen = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, seen, SF)
-        assert out.columns == docs.columns, name
-        assert out.count() <= seen.count()
-        seen = cluster.checkpoint(out)
-    packed = corpus_pipeline.run(spark, SF)
-    assert packed.select("doc_id").distinct().count() == seen.count()
-    labels = queries.table(spark, SF, "labels").filter("toxic = 0")
-    clean = docs.join(labels, "doc_id")
-    left = corpus_pipeline.drop_toxic(spark, clean.select(docs.columns), SF)
-    assert left.count() > 0.97 * clean.count()
-
-
-def test_pipeline_stages_on_odd_rows(spark):
-    rows = spark.createDataFrame([(None, "no id", "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "a" * 100_000, "en", "s", 100_000)], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in corpus_pipeline.STAGES:
-        for table in (rows, rows.limit(0)):
-            out = stage(spark, table, SF)
-            n = out.count()
-            assert n >= table.count() - 1 if name != "pack" else n >= table.count(), name
-            assert name == "pack" or out.columns == rows.columns
