@@ -44,7 +44,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_name, file_path, chunk_index, content, embedding, label, chunk_id; stored with its norm as a chunk table is."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 2).alias("doc_id"), (F.col("vec_id") % 2).cast("int").alias("chunk_index"), "embedding", "label")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.expr("vec_id div 2").alias("doc_id"), (F.col("vec_id") % 2).cast("int").alias("chunk_index"), "embedding", "label")
     f = raw_files(spark, sf_dir).select("doc_id", "project_name", F.col("path").alias("file_path"), "content")
     half = F.floor(F.length("content") / 2).cast("int")
     text = F.when(F.col("chunk_index") == 0, F.substring("content", F.lit(1), half)).otherwise(F.substring("content", half + 1, F.length("content")))
