@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import metrics as M
+from quarry.functions.parallel import spread
 from quarry.operators.complexity import java, kotlin, python
 
 #: language -> function from source text to {"error", "lines", "comment_ratio", "functions", "classes"}
@@ -54,7 +55,7 @@ def analyze_files(files: DataFrame, key: list[str], content: str = "content", la
     """Key columns, language, error, lines_of_code, comment_ratio, functions, classes."""
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
     lang = F.col("language") if language is None else language
-    raw = files.select(*key, F.col(content).alias("_c"), lang.alias("_l")).mapInArrow(_rows, f"{kinds}, language string, error string, lines_of_code int, comment_ratio double, found string")
+    raw = spread(files.select(*key, F.col(content).alias("_c"), lang.alias("_l"))).mapInArrow(_rows, f"{kinds}, language string, error string, lines_of_code int, comment_ratio double, found string")
     got = F.from_json("found", f"struct<functions:array<{FUNCTION}>,classes:array<{CLASS}>>")
     return raw.withColumn("_f", got).select(*key, "language", "error", "lines_of_code", "comment_ratio", F.col("_f.functions").alias("functions"), F.col("_f.classes").alias("classes"))
 

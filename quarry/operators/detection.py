@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.parallel import spread
 from quarry.functions.text import suffix
 
 #: Languages by extension, and names that lexers and users give them.
@@ -180,4 +181,4 @@ def detect_files(files: DataFrame, key: list[str], content: str = "content", pat
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.string())], names=[*batch.schema.names[:n], "language", "confidence", "method"])
 
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
-    return files.select(*key, F.col(content).alias("_c"), F.col(path).alias("_p")).mapInArrow(run, f"{kinds}, language string, confidence double, method string")
+    return spread(files.select(*key, F.col(content).alias("_c"), F.col(path).alias("_p"))).mapInArrow(run, f"{kinds}, language string, confidence double, method string")
