@@ -143,7 +143,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(threshold: float):
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One tile. Where it holds two bundles of a group, only links between them count; links inside are the own tile's."""
-        rows = rows.drop_duplicates("rep").sort_values(["grp", "rep"], kind="stable").reset_index(drop=True)  # ids may repeat
+        rows = rows.drop_duplicates("digest").sort_values(["grp", "rep", "digest"], kind="stable").reset_index(drop=True)  # a class may be loaded by several rows that share its id and text
         sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
         both = intersections(sets)
         size = np.array([len(s) for s in sets])
@@ -157,7 +157,7 @@ def _verify(threshold: float):
         rep = rows["rep"].to_numpy()
         links = link.astype(np.float64) @ rows["n_copies"].to_numpy(np.float64)
         root = _spanning(len(rep), a, b)
-        return pd.DataFrame({"u": rep, "v": rep[root], "links": links.astype(np.int64)})
+        return pd.DataFrame({"digest": rows["digest"], "u": rep, "v": rep[root], "links": links.astype(np.int64)})
 
     return verify
 
@@ -194,7 +194,7 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     classes = checkpoint(signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
     buckets = classes.filter("rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
     least = buckets.groupBy("band", "bucket").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    edges = buckets.join(least, ["band", "bucket"]).filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+    edges = buckets.join(least, ["band", "bucket"]).select(F.col("rep").alias("u"), "v").distinct()
     groups = components(edges).select(F.col("id").alias("rep"), F.col("component").alias("grp"))
     members = checkpoint(classes.select("rep", "digest", "n_copies", "n_grams").join(groups, "rep"))
     tiles = _tiles(members)
@@ -202,11 +202,11 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     loaded = loaded.select("id", "t", "digest", "n_copies", "grp", "bundle", "tile", "blocks")
     loaded = loaded.mapInArrow(_load(n), "rep long, grams binary, digest binary, n_copies long, grp long, bundle long, tile long, blocks long")
     dealt = loaded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("rep", "grams", "n_copies", "grp", "bundle", "tile", F.least("bundle", "other").alias("i"), F.greatest("bundle", "other").alias("j"))
-    found = checkpoint(dealt.groupBy("tile", "i", "j").applyInPandas(_verify(threshold), "u long, v long, links long"))
-    links = found.groupBy("u").agg(F.sum("links").alias("links"))
+    dealt = dealt.select("rep", "digest", "grams", "n_copies", "grp", "bundle", "tile", F.least("bundle", "other").alias("i"), F.greatest("bundle", "other").alias("j"))
+    found = checkpoint(dealt.groupBy("tile", "i", "j").applyInPandas(_verify(threshold), "digest binary, u long, v long, links long"))
+    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     joined = components(found.filter("u <> v").select("u", "v"))
-    labels = classes.select("digest", "rep", "n_copies").join(links.withColumnRenamed("u", "rep"), "rep", "left").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    labels = classes.select("digest", "rep", "n_copies").join(links, "digest", "left").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
     labels = labels.select("digest", F.col("rep").alias("class_id"), (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("id", "n_grams", "digest").join(labels, "digest", "left")
     alone = F.col("digest").isNull()

@@ -138,6 +138,16 @@ def test_jaccard_odd_rows(spark):
     assert len(jaccard_join.keep_one(docs(spark, ODD)).collect()) == len(ODD) - 1
 
 
+def test_jaccard_repeated_ids(spark):
+    base = long_text(200, 4).split()
+    texts = [" ".join(base), " ".join([*base, "tail"]), " ".join(["head", *base]), "something else entirely"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (2, texts[3])]
+    got = sorted((r.doc_id, r.n_grams, r.n_links, r.component_id) for r in jaccard_join.jaccard_join(docs(spark, rows)).collect())
+    assert got == [(1, 196, 3, 1), (1, 197, 3, 1), (1, 197, 3, 1), (2, 1, 0, 1), (2, 197, 3, 1)]
+    alone = jaccard_join.jaccard_join(docs(spark, rows[:2])).collect()
+    assert [r.n_links for r in alone] == [1, 1]
+
+
 def test_banding():
     b, r = jaccard_join.banding(0.8, 0.9995)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995 > 1 - (1 - 0.8**r) ** (b - 1)
