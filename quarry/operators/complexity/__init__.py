@@ -109,26 +109,41 @@ def recommendations(rows: DataFrame) -> DataFrame:
     return rows.withColumn("recommendations", F.when(F.col("error").isNotNull(), F.array().cast("array<string>")).when(F.size(out) == 0, fine).otherwise(out))
 
 
-#: Thresholds that validation holds results against.
-THRESHOLDS = {"max_complexity": 20, "max_cognitive": 30, "min_maintainability": 20, "max_depth": 5, "max_parameters": 7, "max_lines": 100}
-
-
-def validation(rows: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """issues and warnings per file."""
-    t = THRESHOLDS | (limits or {})
-    has = lambda test, text: F.when(F.exists("functions", test), F.lit(text))
-    issues = F.array_compact(F.array(
-        F.when(F.col("error").isNotNull(), F.col("error")), has(lambda f: f["complexity"] > t["max_complexity"], "complexity"), has(lambda f: f["cognitive"] > t["max_cognitive"], "cognitive complexity"),
-        has(lambda f: f["depth"] > t["max_depth"], "nesting"), has(lambda f: f["line_end"] - f["line_start"] + 1 > t["max_lines"], "length"), F.when(F.col("maintainability_index") < t["min_maintainability"], F.lit("maintainability")),
+#: Bounds of the bands that a language's metrics are reported in.
+THRESHOLDS = {
+    "cyclomatic": {"simple": 10, "moderate": 20, "complex": 50},
+    "cognitive": {"simple": 15, "moderate": 30, "complex": 60},
+    "maintainability": {"excellent": 80, "good": 60, "fair": 40, "poor": 20},
+}
+
+
+def banded(value: Column, metric: str) -> Column:
+    """The first band whose bound a value keeps to; beyond them all, ``extreme``."""
+    out, up = None, metric == "maintainability"
+    for name, bound in THRESHOLDS[metric].items():
+        test = value >= bound if up else value <= bound
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out.otherwise("extreme")
+
+
+def validation(rows: DataFrame) -> DataFrame:
+    """is_valid, issues (values that can't be) and warnings (values to look at) per file."""
+    each = lambda test, text: F.transform(F.filter("functions", test), lambda f: F.concat(F.lit("Function "), f["name"], F.lit(text)))
+    wrong = F.array_compact(F.array(
+        F.when(F.col("total_complexity") < 0, F.lit("Total complexity cannot be negative")), F.when(F.col("cognitive_complexity") < 0, F.lit("Cognitive complexity cannot be negative")),
+        F.when(F.col("maintainability_index") > 100, F.lit("Maintainability index cannot exceed 100")), F.when(F.col("comment_ratio") > 1, F.lit("Comment ratio cannot exceed 1.0")),
+    ))
+    issues = F.concat(wrong, each(lambda f: f["complexity"] < 1, " has complexity < 1"), each(lambda f: f["cognitive"] < 0, " has negative cognitive complexity"))
+    warnings = F.array_compact(F.array(
+        F.when(F.col("average_complexity") > 50, F.lit("Extremely high average complexity detected")), F.when((F.col("function_count") == 0) & (F.col("lines_of_code") > 10), F.lit("No functions found in non-trivial code")),
     ))
-    warnings = F.array_compact(F.array(has(lambda f: f["parameters"] > t["max_parameters"], "parameters"), F.when(F.col("average_complexity") > 10, F.lit("average complexity"))))
-    return rows.withColumns({"issues": issues, "warnings": warnings})
+    return rows.withColumns({"issues": issues, "warnings": warnings}).withColumn("is_valid", F.size("issues") == 0)
 
 
 def with_context(rows: DataFrame, is_test: Column, is_library: Column) -> DataFrame:
-    """Mark test files, and advise on libraries that average more than 5."""
-    advice = F.when(is_library & (F.col("average_complexity") > 5), F.array(F.lit("Library code should aim for lower complexity"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumns({"is_test": is_test, "recommendations": F.concat("recommendations", advice)})
+    """Mark test files, whose thresholds may be wider, and advise on libraries that average more than 5."""
+    advice = F.when(is_library & (F.col("average_complexity") > 5), F.array(F.lit("Library code should maintain low complexity for ease of use"))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumns({"adjusted_thresholds": is_test, "recommendations": F.concat("recommendations", advice)})
 
 
 def directory_analysis(summaries: DataFrame) -> DataFrame:

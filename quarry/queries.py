@@ -613,10 +613,11 @@ def keyword_shares(s, d):
     return adapt.table(s, d, "documents").select("doc_id", *(F.round(detection.keyword_share(F.col("text"), g), 6).alias(g) for g in ("python", "java")))
 
 
-@query()
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'kotlin' END AS language, true AS is_valid, '' AS issues, '' AS warnings, 'simple' AS cyclomatic_band FROM documents")
 def complexity_validation(s, d):
-    rows = complexity.validation(complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"]), {"max_complexity": 5})
-    return rows.select("doc_id", "language", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"))
+    rows = complexity.recommendations(complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"]))
+    rows = complexity.validation(complexity.with_context(rows, F.col("doc_id") % 2 == 0, F.lit(True)))
+    return rows.select("doc_id", "language", "is_valid", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"), complexity.banded(F.col("total_complexity"), "cyclomatic").alias("cyclomatic_band"))
 
 
 @query()

@@ -167,3 +167,15 @@ def test_detection_falls_back():
 def test_tuning():
     assert profiling.tuned(20_000, 50, 500) == {"batch_size": 10, "cache_size": 100, "cache_ttl_seconds": 7200, "max_connections": 100, "min_connections": 20}
     assert profiling.tuned(500, 50, 1) == {"batch_size": 100}
+
+
+def test_validation(spark):
+    from quarry.operators import complexity
+
+    kinds = f"total_complexity int, cognitive_complexity int, maintainability_index double, comment_ratio double, average_complexity double, function_count int, lines_of_code int, functions {'array<' + complexity.FUNCTION + '>'}"
+    f = ("f", "function", 0, -1, 1, 2, 0, 0, 0, 0, 0, False, False, False, False, False, False)
+    rows = spark.createDataFrame([(1, 1, 50.0, 0.1, 1.0, 1, 5, []), (-1, -1, 101.0, 1.5, 51.0, 0, 11, [f])], kinds)
+    good, bad = complexity.validation(rows).collect()
+    assert good.is_valid and not good.issues and not good.warnings
+    assert not bad.is_valid and len(bad.issues) == 6 and len(bad.warnings) == 2
+    assert [r[0] for r in rows.select(complexity.banded(F.col("maintainability_index"), "maintainability")).collect()] == ["fair", "excellent"]
