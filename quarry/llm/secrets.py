@@ -4,8 +4,8 @@ Strong parts stand alone: assigned secrets, access identifiers, long hexadecimal
 unassigned random-looking strings) are candidates. Within a document, each part's interval is widened by ``REACH`` code points and
 joined with the parts it meets; a weak candidate is reported only where the parts that complete it are among them: an account or
 endpoint needs a secret and either of the two others, a random-looking string needs an account or access identifier and an endpoint.
-The interval join is a range window per document over the few parts of documents that hold parts of two roles; it makes no pair rows
-and no document's text takes part in it.
+The interval join is one ordered window per document over the starts and widened ends of the few parts of documents that hold parts
+of two roles; it makes no pair rows and no document's text takes part in it.
 """
 
 from __future__ import annotations
@@ -82,11 +82,14 @@ def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
     roles = (secret > 0).cast("int") + (who > 0).cast("int") + (where > 0).cast("int")
     some = parts.filter((roles >= 2) & (F.size("account") + F.size("endpoint") + F.size("random") > 0))
     rows = some.select("key", F.explode(F.concat(*(of_kind(F.col(k), k) for k in KINDS))).alias("p")).select("key", "p.*").distinct()
-    w = Window.partitionBy("key")
-    # A part of length L that starts at s meets what starts in [s - reach - longest, e + reach]; starts are compared, ends follow.
-    near = w.orderBy("start").rangeBetween(-reach, reach)
-    has = {role: F.max(F.col("kind").isin(kinds)).over(near) for role, kinds in (("secret", ["assign", "hex", "random"]), ("who", ["access", "account"]), ("where", ["endpoint"]))}
-    flagged = rows.select("*", *(x.alias(f"has_{k}") for k, x in has.items()), F.max(F.col("kind").isin("assign", "hex")).over(near).alias("has_strong"), F.max(F.col("kind") == "access").over(near).alias("has_access"))
+    # A part meets what starts by end + reach and ends from start - reach on. Each part is added at its start and asks at end + reach,
+    # after what is added there: of a role, the furthest end so far tells whether one meets it.
+    asks = F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("ask")), F.struct((F.col("end") + reach).alias("at"), F.lit(1).alias("ask")))
+    events = rows.select("*", F.explode(asks).alias("x")).select("key", "kind", "start", "end", "x.*")
+    so_far = Window.partitionBy("key").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    roles = {"secret": ["assign", "hex", "random"], "who": ["access", "account"], "where": ["endpoint"], "strong": ["assign", "hex"]}
+    meets = {role: F.max(F.when((F.col("ask") == 0) & F.col("kind").isin(kinds), F.col("end"))).over(so_far) >= F.col("start") - reach for role, kinds in roles.items()}
+    flagged = events.select("*", *(F.coalesce(x, F.lit(False)).alias(f"has_{k}") for k, x in meets.items())).filter("ask = 1")
     whole = (
         (F.col("kind") == "account") & F.col("has_secret") & (F.col("has_where") | F.col("has_strong"))
         | (F.col("kind") == "endpoint") & F.col("has_secret") & F.col("has_who")

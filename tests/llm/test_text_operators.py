@@ -279,6 +279,16 @@ def test_secrets(spark, sf):
     assert not secrets.find_secrets(docs(spark, [(1, "see https://a.example.com/x and login: bob")])).first().spans
 
 
+def test_secrets_reach_is_a_gap(spark):
+    url = "https://a.example.com/" + "x" * 278
+    who = "login: bob password=hunter2hunter2"
+    near = secrets.REACH - len("login: bob ")
+    rows = [(1, f"{url} {who}"), (2, f"{url}{' ' * near}{who}"), (3, f"{url}{' ' * (near + 1)}{who}"), (4, f"password={'p' * 300} login: bob {url}"), (5, f"login: bob {'. ' * 10}token={'p' * 500} {url}")]
+    spans = {r.doc_id: set(re.findall("account|endpoint", r.spans)) for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert len(url) == 300 and spans == {1: {"account", "endpoint"}, 2: {"account", "endpoint"}, 3: {"account"}, 4: {"account", "endpoint"}, 5: {"account"}}
+    assert "http" not in secrets.redact(docs(spark, rows)).filter("doc_id = 1").first().text
+
+
 def test_redaction(spark):
     rows = [*ODD, *((100 + k, t) for k, t in enumerate(SECRETS))]
     table = docs(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
