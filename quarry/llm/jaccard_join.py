@@ -2,7 +2,7 @@
 
 1. Each text becomes its set of n-gram hashes, a 128-bit digest of that set, and ``bands`` band hashes of ``rows`` MinHash
    values each. Bands and rows are the fewest hashes that reach ``recall`` for a pair right at the threshold.
-2. Texts with equal sets form a class, stood for by its smallest id, so copies are counted and never paired.
+2. Texts with equal sets form a class, stood for by one row, so copies are counted and never paired.
 3. Class representatives are shuffled on band hashes; each bucket adds one edge per member to its smallest
    member. The components of these edges are the candidate groups: a pair that shares a band is in one group.
 4. Groups are dealt over bundles of bounded size (documents and n-grams). A bundle, or a pair of bundles where one group
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel
@@ -31,6 +31,8 @@ from quarry.llm.cluster import checkpoint, components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 BUNDLE_DOCS, BUNDLE_GRAMS = 1024, 1 << 20
+#: A character of a word.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: N-grams in more texts of a bundle than this are multiplied as a dense matrix.
 DENSE = 24
 
@@ -88,7 +90,7 @@ def _sign(n: int, bands: int, rows: int):
                 digests = [_digest(g[a:b]) if b > a else None for a, b in zip(offs[:-1], offs[1:], strict=True)]
                 flat = pa.array(signatures(g, offs, bands, rows).ravel(), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "n_grams", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "key", "n_grams", "digest", "bands"])
 
     return sign
 
@@ -104,7 +106,7 @@ def _load(n: int):
                 # One row for each digest goes on, and only the text that has it: ids may repeat.
                 ok = pa.array([hashlib.blake2b(s, digest_size=16).digest() == w for s, w in zip(sets, wanted[at : at + len(sets)], strict=True)])
                 cols = [batch.column(0).slice(at, len(sets)), pa.array(sets, pa.binary()), *(c.slice(at, len(sets)) for c in rest)]
-                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in cols], names=["rep", "grams", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays([c.filter(ok) for c in cols], names=["node", "grams", *batch.schema.names[2:]])
 
     return load
 
@@ -143,7 +145,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _verify(threshold: float):
     def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One tile. Where it holds two bundles of a group, only links between them count; links inside are the own tile's."""
-        rows = rows.drop_duplicates("digest").sort_values(["grp", "rep", "digest"], kind="stable").reset_index(drop=True)  # a class may be loaded by several rows that share its id and text
+        rows = rows.drop_duplicates("digest").sort_values(["grp", "node"], kind="stable").reset_index(drop=True)  # a class may be loaded by several rows that share its id and text
         sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
         both = intersections(sets)
         size = np.array([len(s) for s in sets])
@@ -154,10 +156,10 @@ def _verify(threshold: float):
             link &= bundle[:, None] != bundle[None, :]
         np.fill_diagonal(link, False)
         a, b = np.nonzero(np.triu(link))
-        rep = rows["rep"].to_numpy()
+        node = rows["node"].to_numpy()
         links = link.astype(np.float64) @ rows["n_copies"].to_numpy(np.float64)
-        root = _spanning(len(rep), a, b)
-        return pd.DataFrame({"digest": rows["digest"], "u": rep, "v": rep[root], "links": links.astype(np.int64)})
+        root = _spanning(len(node), a, b)
+        return pd.DataFrame({"node": node, "u": node, "v": node[root], "links": links.astype(np.int64)})
 
     return verify
 
@@ -177,6 +179,43 @@ def _spanning(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _text_key(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n_grams, digest) and classes (digest, rep, first, n_links, component), all by n-gram set.
+
+    Ids may repeat or be null, so a class has a number of its own, and components are made of numbers. first: the row that stands for
+    the class, the smallest (without an id, id, key of the text); rep: its id.
+    """
+    bands, rows = banding(threshold, recall)
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"), _text_key(text).alias("key"))
+    signed = checkpoint(source.mapInArrow(_sign(n, bands, rows), "id long, key string, n_grams long, digest binary, bands array<long>"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    buckets = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    least = buckets.groupBy("band", "bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    edges = buckets.join(least, ["band", "bucket"]).select(F.col("node").alias("u"), "v").distinct()
+    groups = components(edges).select(F.col("id").alias("node"), F.col("component").alias("grp"))
+    members = checkpoint(classes.select("node", "first", "digest", "n_copies", "n_grams").join(groups, "node"))
+    tiles = _tiles(members)
+    # One row of each text without an id is enough; those with an id are spread by it.
+    texts = source.filter("id IS NOT NULL").unionByName(source.filter("id IS NULL").dropDuplicates(["key"]))
+    loaded = texts.join(tiles, texts["id"].eqNullSafe(F.col("first.id")) & (texts["key"] == F.col("first.key")))
+    loaded = loaded.select("node", "t", "digest", "n_copies", "grp", "bundle", "tile", "blocks")
+    loaded = loaded.mapInArrow(_load(n), "node long, grams binary, digest binary, n_copies long, grp long, bundle long, tile long, blocks long")
+    dealt = loaded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("node", "digest", "grams", "n_copies", "grp", "bundle", "tile", F.least("bundle", "other").alias("i"), F.greatest("bundle", "other").alias("j"))
+    found = checkpoint(dealt.groupBy("tile", "i", "j").applyInPandas(_verify(threshold), "node long, u long, v long, links long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.filter("u <> v").select("u", "v")).select(F.col("id").alias("node"), "component")
+    out = classes.select("node", "digest", "first", "n_copies").join(links, "node", "left").join(joined, "node", "left")
+    out = out.select("digest", F.col("first.id").alias("rep"), "first", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    return signed.select("id", "key", "n_grams", "digest"), out
+
+
 def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: n_grams, class_id, n_links, component_id, kept.
 
@@ -184,31 +223,20 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     at least threshold, copies included. component_id: the smallest id reachable by links. kept: doc_id = component_id.
     Words are lower-cased; a text of fewer than n words, but not none, is one n-gram. A null text, or one without words,
     links with nothing: its class and component are its own id and it is kept. Rows that repeat an id are documents of
-    their own, and links count them; they share a class if their sets are equal. A row without an id is counted as a link but
-    can't stand for a class: where no member has an id, class and component are null and the row is kept.
-    Other columns are ignored, whatever their names. An empty table gives an empty result.
+    their own, and links count them; they share a class if their sets are equal. component_id is of ids, as in the SQL: components whose
+    classes share their smallest id have one number (``keep_one`` goes by the texts alone). A row without an id links and is counted as
+    any other; where no member of a class has an id, class is null, and so is component if no row reachable has one; such rows are
+    marked kept. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    bands, rows = banding(threshold, recall)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    signed = checkpoint(source.mapInArrow(_sign(n, bands, rows), "id long, n_grams long, digest binary, bands array<long>"))
-    classes = checkpoint(signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
-    buckets = classes.filter("rep IS NOT NULL").select("rep", F.posexplode("bands").alias("band", "bucket"))
-    least = buckets.groupBy("band", "bucket").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    edges = buckets.join(least, ["band", "bucket"]).select(F.col("rep").alias("u"), "v").distinct()
-    groups = components(edges).select(F.col("id").alias("rep"), F.col("component").alias("grp"))
-    members = checkpoint(classes.select("rep", "digest", "n_copies", "n_grams").join(groups, "rep"))
-    tiles = _tiles(members)
-    loaded = source.filter("id IS NOT NULL").join(tiles.withColumnRenamed("rep", "id"), "id")
-    loaded = loaded.select("id", "t", "digest", "n_copies", "grp", "bundle", "tile", "blocks")
-    loaded = loaded.mapInArrow(_load(n), "rep long, grams binary, digest binary, n_copies long, grp long, bundle long, tile long, blocks long")
-    dealt = loaded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("rep", "digest", "grams", "n_copies", "grp", "bundle", "tile", F.least("bundle", "other").alias("i"), F.greatest("bundle", "other").alias("j"))
-    found = checkpoint(dealt.groupBy("tile", "i", "j").applyInPandas(_verify(threshold), "digest binary, u long, v long, links long"))
-    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    joined = components(found.filter("u <> v").select("u", "v"))
-    labels = classes.select("digest", "rep", "n_copies").join(links, "digest", "left").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    labels = labels.select("digest", F.col("rep").alias("class_id"), (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("id", "n_grams", "digest").join(labels, "digest", "left")
+    rows, classes = _linked(docs, doc_id, text, n, threshold, recall)
+    classes = checkpoint(classes.drop("first"))
+    low = checkpoint(classes.groupBy("component").agg(F.min("rep").alias("low")))
+    reps = classes.filter("rep IS NOT NULL").select("rep", "component").distinct()
+    shared = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep")
+    merged = components(reps.join(shared, "rep").join(low, "component").select(F.col("rep").alias("u"), F.col("low").alias("v")))
+    low = low.join(merged.select(F.col("id").alias("low"), F.col("component").alias("least")), "low", "left").select("component", F.coalesce("least", "low").alias("component_id"))
+    labels = classes.join(low, "component").select("digest", F.col("rep").alias("class_id"), "n_links", "component_id")
+    out = rows.join(labels, "digest", "left")
     alone = F.col("digest").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
     return out.select(
@@ -218,9 +246,9 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Each representative's tile, its bundle inside, and how many bundles its group takes.
+    """Each class's tile, its bundle inside, and how many bundles its group takes.
 
-    Groups that fit a bundle share tiles by hash; a larger group has a tile number of its own (its negated id) and is dealt over
+    Groups that fit a bundle share tiles by hash; a larger group has a tile number of its own (its negated number) and is dealt over
     as many bundles as its documents and n-grams ask for.
     """
     size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("d"), F.sum("n_grams").alias("g"))
@@ -230,14 +258,20 @@ def _tiles(members: DataFrame) -> DataFrame:
     total = small.select(F.greatest(F.ceil(F.col("d") * 4 / BUNDLE_DOCS), F.ceil(F.col("g") * 4 / BUNDLE_GRAMS), F.lit(1)).cast("long").alias("n")).first()["n"]
     tile = F.when(F.col("blocks") > 1, -F.col("grp") - 1).otherwise(F.pmod(F.xxhash64("grp"), F.lit(total or 1)))
     bundle = F.pmod(F.xxhash64("digest"), F.col("blocks"))
-    return members.join(size.select("grp", "blocks"), "grp").select("rep", "digest", "n_copies", "grp", "blocks", tile.alias("tile"), bundle.alias("bundle"))
+    return members.join(size.select("grp", "blocks"), "grp").select("node", "first", "digest", "n_copies", "grp", "blocks", tile.alias("tile"), bundle.alias("bundle"))
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents with one of each linked group left (the smallest id), with their own columns.
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The documents with one of each linked group left, with their own columns.
 
-    Of rows that repeat both the kept id and its text one stays; a row without an id stays.
+    Groups are of texts, whatever their ids: the row with the smallest id stays, of several texts under it any one, and a row without an
+    id only where none of its group has one. Of rows that repeat both an id and a text one stays. Texts without words link with
+    nothing and stay; without an id, each row of them does.
     """
-    keep = jaccard_join(docs, doc_id=doc_id, text=text, **options).filter(F.col("kept") & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__kept")).distinct()
-    stay = docs.filter(F.col(doc_id).isNotNull()).join(keep, docs[doc_id] == F.col("__kept"), "left_semi")
-    return stay.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))
+    rows, classes = _linked(docs, doc_id, text, n, threshold, recall)
+    keep = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.key")
+    keep = keep.unionByName(rows.filter("digest IS NULL AND id IS NOT NULL").select("id", "key").distinct()).select(F.col("id").alias("__id"), F.col("key").alias("__kept"))
+    blank = F.col(doc_id).isNull() & ~F.coalesce(F.rlike(F.col(text).cast("string"), F.lit(WORD)), F.lit(False))
+    keyed = docs.filter(~blank).withColumn("__key", _text_key(text))
+    stay = keyed.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    return stay.dropDuplicates([doc_id, "__key"]).drop("__key").unionByName(docs.filter(blank))

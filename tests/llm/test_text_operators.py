@@ -148,6 +148,19 @@ def test_jaccard_repeated_ids(spark):
     assert [r.n_links for r in alone] == [1, 1]
 
 
+def test_keep_one_goes_by_text(spark):
+    base = [long_text(200, k).split() for k in range(40, 44)]
+    near = lambda k, w: " ".join([*base[k], w])
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (2, near(0, "tail")), (2, "something else entirely"), (3, near(1, "end")), (3, near(1, "end"))]
+    rows += [(None, near(2, w)) for w in ("a", "b", "b")] + [(None, near(3, "x")), (9, near(3, "y")), (None, ""), (None, ""), (None, None), (4, "..")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(docs(spark, rows)).collect()), key=str)
+    one = [x for x in kept if x[0] is None and x[1] and x[1].startswith(" ".join(base[2]))]
+    assert len(one) == 1
+    assert sorted((x for x in kept if x not in one), key=str) == sorted([rows[0], rows[1], rows[3], rows[10], (None, ""), (None, ""), (None, None), (4, "..")], key=str)
+    links = collections.Counter((r.doc_id, r.n_links) for r in jaccard_join.jaccard_join(docs(spark, rows)).collect())
+    assert links[None, 2] == 3 and links[None, 1] == 1 and links[9, 1] == 1
+
+
 def test_banding():
     b, r = jaccard_join.banding(0.8, 0.9995)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995 > 1 - (1 - 0.8**r) ** (b - 1)
