@@ -235,22 +235,18 @@ def _merged(found: list[DataFrame]) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, whole rows, decided where they stand: nothing is joined or shuffled.
 
-    A benchmark of several blocks is the exception: its decisions are joined back by id, so documents that share an id share a decision,
-    and those without an id stay.
+    A benchmark of several blocks is searched block by block in each batch, and the matches of all blocks are pooled per row; ids play no
+    part. Every block's index then stays in each Python worker.
     """
-    blocks = _blocks(benchmark, item_id, item_text)
-    index, more = Items(next(blocks), window), next(blocks, None)
-    if more is not None:
-        found = find_contamination(docs, benchmark, doc_id=doc_id, text=text, item_id=item_id, item_text=item_text, window=window, share=share)
-        bad = found.filter("contaminated").select(F.col(doc_id).alias("__bad")).distinct()
-        return docs.join(bad, docs[doc_id] == F.col("__bad"), "left_anti")
+    indexes = [Items(b, window) for b in _blocks(benchmark, item_id, item_text)]
     where = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in kernel.pieces(batch.column(where), SHARD_BYTES):
-                m = shard_matches(index, texts)
-                hit = covered(m["n_words"], m["text"], m["start"], m["size"])
-                yield batch.slice(at, len(texts)).filter(pa.array((hit == 0) | (share * hit < m["n_words"])))
+                found = [shard_matches(index, texts) for index in indexes]
+                n_words = found[0]["n_words"]
+                hit = covered(n_words, *(np.concatenate([m[k] for m in found]) for k in ("text", "start", "size")))
+                yield batch.slice(at, len(texts)).filter(pa.array((hit == 0) | (share * hit < n_words)))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -86,6 +86,20 @@ def test_decontamination_empty(spark):
     assert decontamination.find_contamination(docs(spark, []), none).count() == 0
 
 
+@pytest.mark.parametrize("size", [decontamination.BLOCK_BYTES, 2000])
+def test_drop_contaminated_goes_by_row(spark, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+    item = [long_text(40, k) for k in range(6)]
+    # the second row is over the share only by the matches of two blocks together
+    pooled = f"{item[0].split(' ', 13)[0]} {' '.join(item[0].split()[:13])} {' '.join(item[5].split()[:13])} {long_text(480, 9)}"
+    rows = [(None, item[0]), (1, pooled), (2, item[3]), (2, "clean text under the same id"), (None, "clean without id"), (3, None)]
+    items = list(enumerate(item))
+    clean = [(i, t) for (i, t) in rows if not contamination([(i, t)], items)[0][5]]
+    assert clean == [rows[3], rows[4], rows[5]] and not contamination([rows[1]], items[:1])[0][5]
+    kept = decontamination.drop_contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(clean, key=str)
+
+
 def grams(text, n=5):
     w = words(text)
     return frozenset(tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))) if w else frozenset()
