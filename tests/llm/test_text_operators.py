@@ -348,6 +348,55 @@ def test_licenses(spark, sf):
     assert len(licenses.rules()) > 200
 
 
+def expanded(pattern, r):
+    """A text that the pattern matches, alternatives and options by chance."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(parts):
+        out = ""
+        for op, x in parts:
+            if op in (c.ASSERT, c.ASSERT_NOT):
+                continue
+            if op is c.LITERAL:
+                out += chr(x)
+            elif op is c.BRANCH:
+                out += of(r.choice(x[1]))
+            elif op is c.SUBPATTERN:
+                out += of(x[3])
+            elif op is c.IN:
+                kind, y = r.choice(x)
+                out += chr(y if kind is c.LITERAL else r.randint(*y))
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                out += "".join(of(x[2]) for _ in range(r.randint(x[0], min(x[1], 2))))
+            else:
+                raise ValueError(op)
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_license_prefilters_lose_nothing(spark):
+    r = random.Random(1)
+    made = []
+    for _label, keyword, p, k, _w in licenses.rules():
+        for _ in range(6):
+            t = f" {expanded(p, r)} "
+            assert re.search(p, t), (p, t)
+            made.append((k, t, keyword))
+    assert [(t, kw) for _, t, kw in made if kw not in t] == []
+    got = spark.createDataFrame(made, "k int, w string, kw string").filter(~licenses.gate(F.col("w")))
+    assert [tuple(x) for x in got.collect()] == []
+
+
+NAMED = {"GPLv2": "gpl-2.0", "code under GPLv3.": "gpl-3.0", "gpl3": "gpl-3.0", "LGPLv3 AGPLv3": "agpl,lgpl", "Expat License": "mit", "X11 License": "mit", "FreeBSD License": "bsd-2-clause", "SPDX-License-Identifier: MIT": "mit", "Apache-2.0": "apache-2.0", "BSD-3-Clause": "bsd-3-clause", "MPL-2.0": "mpl-2.0", "SPDX-License-Identifier: ISC": "isc", "released under ISC": "isc", "License: ISC": "isc", "komm mit nach Hause": ""}
+
+
+def test_license_names(spark):
+    got = licenses.find_licenses(docs(spark, list(enumerate(NAMED)))).collect()
+    assert {list(NAMED)[r.doc_id]: r.labels for r in got} == NAMED
+
+
 def test_token_counts(spark, sf):
     count = token_counts.counter(token_counts.vocabulary())
     real = [r.text for r in queries.table(spark, sf, "documents").select("text").limit(40).collect()]
