@@ -507,9 +507,8 @@ def chunk_small_files(s, d):
 
 @query()
 def chunk_content(s, d):
-    """Each project's documents as one file, so that most are cut."""
-    whole = adapt.table(s, d, "documents").filter("doc_id % 20 < 4").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("content"))
-    return chunking.chunk_files(whole, ["source"]).select("source", "chunk_index", F.md5("content").alias("content_md5"), "start_line", "end_line")
+    """Every document as one file, whole."""
+    return chunking.chunk_files(adapt.table(s, d, "documents"), ["doc_id"], "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "start_line", "end_line")
 
 
 _SNIPPETS = {

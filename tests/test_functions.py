@@ -179,3 +179,14 @@ def test_validation(spark):
     assert good.is_valid and not good.issues and not good.warnings
     assert not bad.is_valid and len(bad.issues) == 6 and len(bad.warnings) == 2
     assert [r[0] for r in rows.select(complexity.banded(F.col("maintainability_index"), "maintainability")).collect()] == ["fair", "excellent"]
+
+
+def test_chunk_content_covers_every_document(spark, tmp_path):
+    import hashlib
+
+    from quarry import queries
+
+    texts = {k: "\n".join(f"{k} line {i} " + "x" * 60 for i in range(n)) for k, n in ((1, 3), (4, 900), (7, 2000), (19, 1200))}
+    spark.createDataFrame([(k, "s", t) for k, t in texts.items()], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.chunk_index, r.content_md5, r.start_line, r.end_line) for r in queries.QUERIES["chunk_content"](spark, str(tmp_path)).collect())
+    assert got == [(k, i, hashlib.md5(c.encode()).hexdigest(), a, b) for k, t in texts.items() for i, (c, a, b) in enumerate(chunking.chunk_spans(t))]
