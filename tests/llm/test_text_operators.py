@@ -8,10 +8,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontamination, jaccard_join, licenses, packing, pii, queries, secrets, token_counts
+from quarry.llm import bpe, decontamination, jaccard_join, kernel, licenses, packing, pii, queries, secrets, token_counts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -429,3 +430,33 @@ def test_token_count_rows(spark):
     trees = token_counts.token_trees(docs(spark, rows)).collect()
     assert {(r.doc_id, r.n_tokens) for r in trees} == {(r.doc_id, r.n_tokens) for r in out}
     assert token_counts.count_edited(docs(spark, [])).count() == 0
+
+
+def test_match_lengths_against_brute_force():
+    r = random.Random(1)
+    for _ in range(120):
+        window = r.choice((1, 2, 3, 13, 18))
+        items = [[r.choice("abcde") for _ in range(r.randint(0, 30))] for _ in range(r.randint(1, 4))]
+        texts = [[r.choice(["a", "b", "c", "d", "e", "other"]) for _ in range(r.randint(0, 40))] for _ in range(3)] + [[*items[0], "a"]]
+        index = decontamination.Items([(k, " ".join(w)) for k, w in enumerate(items)], window)
+        m = decontamination.shard_matches(index, *kernel.words(pa.array([" ".join(t) for t in texts])))
+        places = set(zip(m["text"].tolist(), m["start"].tolist(), m["size"].tolist(), strict=True))
+        sizes = [(w, min(window, len(w))) for w in items if w]
+        want = {(t, p, n) for t, x in enumerate(texts) for w, n in sizes for p in range(len(x) - n + 1) if any(x[p : p + n] == w[j : j + n] for j in range(len(w) - n + 1))}
+        assert places == want
+        for t, p, full in zip(m["text"].tolist(), m["start"].tolist(), m["full"].tolist(), strict=True):
+            assert full == max(k for w in items for q in range(len(w)) for k in range(len(w) - q + 1) if w[q : q + k] == texts[t][p : p + k])
+
+
+@pytest.mark.parametrize("word", [lambda k: f"w{k * 7919 % 5003}", lambda k: "same"])
+def test_long_benchmark_item(word):
+    import tracemalloc
+
+    item = [word(k) for k in range(50_000)]
+    tracemalloc.start()
+    index = decontamination.Items([(1, " ".join(item)), (2, " ".join(item))])
+    m = decontamination.shard_matches(index, *kernel.words(pa.array([" ".join([*item, "other", *item[10_000:]])])))
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert m["full"].max() == 50_000 and m["full"][m["start"] == 50_001].max() == 40_000
+    assert [index.sets[s].tolist() for s in np.unique(index.set_of[m["window"]])] == [[0, 1]]
