@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ KINDS = [*BASE, "national_id"]
 LABELS = ["O", *KINDS]
 #: Atoms and characters in a span at most.
 MAX_ATOMS, MAX_CHARS = 16, 64
+#: Atoms whose scores are made at once, and characters of runs that are decoded together.
+PIECE, JOINT = 4096, 1 << 16
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -106,138 +110,236 @@ def runs(text: str) -> list[tuple[int, int]]:
 
 
 _CUES = {"card": 0, "visa": 0, "credit": 0, "phone": 1, "tel": 1, "call": 1, "mobile": 1, "fax": 1, "ssn": 2, "social": 2, "ip": 3, "host": 3, "server": 3, "mail": 4, "email": 4, "contact": 4}
-N_FEATURES = 64
-
-
-def span_features(text: str, a: int, b: int) -> list[int]:
-    """Indices of the binary features of the span a:b."""
-    s = text[a:b]
-    f = [0]
-    digits = sum(c.isdigit() for c in s)
-    f.append(1 + min(digits, 19) if digits else 21)
-    letters = sum(c.isalpha() for c in s)
-    f.append(22 + (letters > 0) + (letters > 3))
-    f.append(25 + min(s.count("."), 4))
-    f.append(30 + min(s.count("-"), 4))
-    f.append(35 + min(s.count("@"), 1))
-    if s.startswith("+"):
-        f.append(37)
-    if s[0] == "(":
-        f.append(38)
-    if "(" in s and ")" in s:
-        f.append(39)
-    if " " in s:
-        f.append(40)
-    only = "".join(c for c in s if c.isdigit() and c.isascii())
-    if 12 <= len(only) <= 19 and luhn(only):
-        f.append(41)
-    if not s[0].isalnum() and s[0] not in "+(":
-        f.append(42)
-    if not s[-1].isalnum():
-        f.append(43)
-    if a and (text[a - 1].isalnum()):
-        f.append(44)
-    if b < len(text) and text[b].isalnum():
-        f.append(45)
-    if a and text[a - 1] in ".-@+(" or b < len(text) and text[b] in "-@":
-        f.append(46)
-    if re.fullmatch(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}", s):
-        f.append(47)
-    if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s):
-        f.append(48)
-    if re.fullmatch(r"[\w.+%-]+ ?[\[({<](?:at|@)[\])}>] ?[\w-]+(?: ?(?:[\[({<](?:dot|\.)[\])}>]|\.) ?[\w-]+)+", s, re.IGNORECASE):
-        f.append(49)
-    if re.fullmatch(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+", s):
-        f.append(50)
-    parts = s.split(".")
-    if len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts):
-        f.append(51)
-    if re.fullmatch(r"\+[0-9][ ().0-9-]+[0-9]", s):
-        f.append(52)
-    before = re.findall(r"[a-z]+", text[max(0, a - 24) : a].lower())[-2:]
-    f += sorted({53 + _CUES[w] for w in before if w in _CUES})
-    f.append(58 + (len(s) > 8) + (len(s) > 14) + (len(s) > 24))
-    if re.fullmatch(r"[0-9]+|[^\W\d_]+|\S", s):
-        f.append(62)
-    return f
-
-
-def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
-    """Atoms of a run, and candidate segments (first atom, atom after the last, features). Single atoms are candidates too."""
-    atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, a, b)]
-    segments = []
-    for i, (s, _) in enumerate(atoms):
-        for j in range(i + 1, min(i + MAX_ATOMS, len(atoms)) + 1):
-            e = atoms[j - 1][1]
-            if e - s > MAX_CHARS and j > i + 1:
-                break
-            inner = text[s:e]
-            edge = (inner[0].isalnum() or inner[0] in "+(") and inner[-1].isalnum() and not (s and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum())
-            if j == i + 1 or edge and _MARKED.search(inner):
-                segments.append((i, j, span_features(text, s, e)))
-    return atoms, segments
+_CUE = re.compile("|".join(sorted(_CUES, key=len, reverse=True)), re.IGNORECASE)
+N_FEATURES, CONTEXT = 64, 24
+#: Shapes of whole spans: feature, pattern.
+_SHAPES = {
+    47: re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}"), 48: re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), 50: re.compile(r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
+    49: re.compile(r"[\w.+%-]+ ?[\[({<](?:at|@)[\])}>] ?[\w-]+(?: ?(?:[\[({<](?:dot|\.)[\])}>]|\.) ?[\w-]+)+", re.IGNORECASE),
+}
+#: Kinds of characters, as bits.
+_DIGIT_BIT, _LETTER, _ALNUM, _TEN = 1, 2, 4, 8
+_KIND_OF = np.array([_DIGIT_BIT * chr(c).isdigit() | _LETTER * chr(c).isalpha() | _ALNUM * chr(c).isalnum() | _TEN * ("0" <= chr(c) <= "9") for c in range(128)], np.uint8)
+
+
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    out = _KIND_OF[np.minimum(codes, 127)]
+    high = np.flatnonzero(codes > 127)
+    if len(high):
+        seen, back = np.unique(codes[high], return_inverse=True)
+        table = [_DIGIT_BIT * c.isdigit() | _LETTER * c.isalpha() | _ALNUM * c.isalnum() for c in map(chr, seen.tolist())]
+        out[high] = np.array(table, np.uint8)[back]
+    return out
+
+
+def atoms_of(text: str, a: int, b: int) -> np.ndarray:
+    """Starts and ends of the atoms of a run, as rows."""
+    return np.array([m.span() for m in _ATOM.finditer(text, a, b)], np.int64).reshape(-1, 2)
+
+
+def lattice(text: str, atoms: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate segments as (first atom, atoms, features): single atoms, and spans of more whose edges and contents can be personal data.
+
+    upto: of each atom, the number of atoms up to the end of its run; segments don't leave it. Features are indices, padded by N_FEATURES. All
+    counts come from sums over characters, so the work is in proportion to the segments.
+    """
+    low = max(0, int(atoms[0, 0]) - CONTEXT)
+    part = text[low : int(atoms[-1, 1]) + 1]
+    codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    kind, n = _kinds(codes), len(part)
+    begin, end = atoms[:, 0] - low, atoms[:, 1] - low
+    size = np.minimum(upto - np.arange(len(atoms)), MAX_ATOMS)
+    first = np.repeat(np.arange(len(atoms)), size)
+    count = np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size) + 1
+    a, b = begin[first], end[first + count - 1]
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+    tens = sums(kind & _TEN > 0)
+    # A mark inside a span ends by b and does not start before a; marks are apart.
+    marks = np.array([m.span() for m in _MARKED.finditer(part)], np.int64).reshape(-1, 2)
+    inside = np.searchsorted(marks[:, 1], b, "right") > np.searchsorted(marks[:, 0], a, "left")
+    padded = np.concatenate([codes, [32]])
+    alnum = np.concatenate([kind & _ALNUM > 0, [False]])
+    before, after = np.where(a > 0, a - 1, n), np.minimum(b, n)
+    opens, last = padded[a], padded[b - 1]
+    good_start = alnum[a] | (opens == 43) | (opens == 40)
+    edge = good_start & alnum[b - 1] & ~alnum[before] & ~alnum[after]
+    keep = (count == 1) | (b - a <= MAX_CHARS) & edge & inside
+    first, count, a, b, before, after, opens, last, good_start = (x[keep] for x in (first, count, a, b, before, after, opens, last, good_start))
+    of = lambda x: (s := sums(x))[b] - s[a]
+    digits, letters, ten = of(kind & _DIGIT_BIT > 0), of(kind & _LETTER > 0), tens[b] - tens[a]
+    dots, dashes, ats, spaces, left, right = (of(codes == c) for c in (46, 45, 64, 32, 40, 41))
+    # Luhn: sums of the ASCII digits and of their doubles, each over even and odd ranks.
+    value = codes[kind & _TEN > 0] - 48
+    twice, even = value * 2 - 9 * (value > 4), np.arange(len(value)) % 2 == 0
+    s = {(parity, x): sums(np.where(even == parity, (value, twice)[x], 0)) for parity in (True, False) for x in (0, 1)}
+    x, y = tens[a], tens[b]
+    ends_even = (y - 1) % 2 == 0
+    total = np.where(ends_even, s[True, 0][y] - s[True, 0][x] + s[False, 1][y] - s[False, 1][x], s[False, 0][y] - s[False, 0][x] + s[True, 1][y] - s[True, 1][x])
+    length = b - a
+    feature = np.full((len(first), 26), N_FEATURES, np.int8)
+    put = lambda col, where, what: feature.__setitem__((where, col), what[where] if isinstance(what, np.ndarray) else what)
+    feature[:, 0] = 0
+    feature[:, 1] = np.where(digits > 0, 1 + np.minimum(digits, 19), 21)
+    feature[:, 2] = 22 + (letters > 0) + (letters > 3)
+    feature[:, 3] = 25 + np.minimum(dots, 4)
+    feature[:, 4] = 30 + np.minimum(dashes, 4)
+    feature[:, 5] = 35 + np.minimum(ats, 1)
+    put(6, opens == 43, 37)
+    put(7, opens == 40, 38)
+    put(8, (left > 0) & (right > 0), 39)
+    put(9, spaces > 0, 40)
+    put(10, (ten >= 12) & (ten <= 19) & (total % 10 == 0), 41)
+    put(11, ~good_start, 42)
+    put(12, ~alnum[b - 1], 43)
+    put(13, alnum[before], 44)
+    put(14, alnum[after], 45)
+    near = np.isin(padded[before], [46, 45, 64, 43, 40]) & (a > 0) | np.isin(padded[after], [45, 64]) & (b < n)
+    put(15, near, 46)
+    maybe = {47: (ten == 10) & (letters == 0) & (length <= 15), 48: (ten == 9) & (dashes == 2) & (length == 11), 49: (letters >= 3) & (ats + of(np.isin(codes, [91, 40, 123, 60])) > 0), 50: (ats == 1) & (dots > 0)}
+    for col, (f, test) in enumerate(maybe.items(), 16):
+        for k in np.flatnonzero(test).tolist():
+            if _SHAPES[f].fullmatch(part, a[k], b[k]):
+                feature[k, col] = f
+    for k in np.flatnonzero((dots == 3) & (ten == length - 3) & (ten >= 4) & (ten <= 12)).tolist():
+        if all(p and len(p) <= 3 and int(p) <= 255 for p in part[a[k] : b[k]].split(".")):
+            feature[k, 20] = 51
+    phone = of(np.isin(codes, [32, 40, 41, 46, 45])) + ten + (opens == 43) == length
+    put(21, (opens == 43) & phone & (ten >= 2) & alnum[np.minimum(a + 1, n)] & (length > 2), 52)
+    feature[:, 22] = 58 + (length > 8) + (length > 14) + (length > 24)
+    put(23, count == 1, 62)
+    cues = [m.end() for m in _CUE.finditer(part)]
+    if cues:
+        close = begin - np.concatenate([[-(1 << 40)], cues])[np.searchsorted(cues, begin, "right")] <= CONTEXT
+        for k in np.flatnonzero(close).tolist():
+            words = re.findall(r"[a-z]+", part[max(0, begin[k] - CONTEXT) : begin[k]].lower())[-2:]
+            found = sorted({53 + _CUES[w] for w in words if w in _CUES})
+            if found:
+                mine = slice(*np.searchsorted(first, [k, k + 1]))
+                for col, f in enumerate(found, 24):
+                    feature[mine, col] = f
+    return first, count, feature
 
 
 class SemiMarkov:
     """Weights: features x labels, and label pairs. O covers single atoms."""
 
     def __init__(self) -> None:
-        self.w = np.zeros((N_FEATURES, len(LABELS)))
+        self.w = np.zeros((N_FEATURES + 1, len(LABELS)))  # the last row, of the padding, stays 0
         self.t = np.zeros((len(LABELS), len(LABELS)))
 
-    def scores(self, segments: list) -> np.ndarray:
-        return np.array([self.w[f].sum(0) for _, _, f in segments])
-
-    def decode(self, n: int, segments: list) -> list[tuple[int, int, int]]:
-        score, labels = self.scores(segments), len(LABELS)
-        best = np.full((n + 1, labels), -1e30)
-        back: list[list] = [[None] * labels for _ in range(n + 1)]
-        best[0, 0] = 0
-        for k in sorted(range(len(segments)), key=lambda k: segments[k][:2]):
-            i, j, _ = segments[k]
-            came = best[i][:, None] + self.t
-            prev = came.argmax(0)
-            got = came[prev, range(labels)] + score[k]
-            if j > i + 1:
-                got[0] = -1e30
-            for y in np.flatnonzero(got > best[j]):
-                best[j, y], back[j][y] = got[y], (i, int(prev[y]))
-        out, at, y = [], n, int(best[n].argmax())
-        while at > 0:
-            i, p = back[at][y]
-            if y:
-                out.append((i, at, y))
-            at, y = i, p
-        return out[::-1]
-
-    def step(self, n: int, segments: list, gold: dict[tuple[int, int], int], rate: float) -> None:
-        """One step up the gradient of log p(gold segments | run)."""
-        score, labels = self.scores(segments), len(LABELS)
-        order = sorted(range(len(segments)), key=lambda k: segments[k][:2])
-        alpha = np.full((n + 1, labels), -1e30)
-        beta = np.full((n + 1, labels), -1e30)
+    def scores(self, first: np.ndarray, count: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """Scores by first atom, atoms less one, and label; what is no candidate has -inf."""
+        flat = np.zeros((len(first), len(LABELS)))
+        for k in range(feature.shape[1]):
+            flat += self.w[feature[:, k]]
+        flat[count > 1, 0] = -np.inf
+        out = np.full((n, MAX_ATOMS, len(LABELS)), -np.inf)
+        out[first, count - 1] = flat
+        return out
+
+    def decode(self, text: str, runs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        """The best segments (first atom, atom after the last, label) of each run of atoms, those of O left out.
+
+        Runs of about the same length go through one dynamic programme side by side; a long run goes by itself, its scores made
+        piece by piece, so memory is in proportion to the atoms.
+        """
+        out: list[list[tuple[int, int, int]]] = [[] for _ in runs]
+        by_size: dict[int, list[int]] = {}
+        for k, atoms in enumerate(runs):
+            if len(atoms):
+                by_size.setdefault(int(len(atoms) - 1).bit_length(), []).append(k)
+        for bits, mine in by_size.items():
+            step = max(1, PIECE >> bits)
+            for at in range(0, len(mine), step):
+                few = mine[at : at + step]
+                for k, found in zip(few, self._decode(text, [runs[k] for k in few]), strict=True):
+                    out[k] = found
+        return out
+
+    def _decode(self, text: str, runs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        labels, size = len(LABELS), np.array([len(r) for r in runs])
+        most, n = int(size.max()), len(runs)
+        best = np.full((n, most + 1 + MAX_ATOMS, labels), -np.inf)
+        came = np.zeros((n, most + 1 + MAX_ATOMS, labels), np.int32)  # atoms of the segment that ends here
+        prev = np.zeros((n, most + 1 + MAX_ATOMS, labels), np.int8)
+        best[:, 0, 0] = 0
+        wide = np.arange(MAX_ATOMS, dtype=np.int32)[None, :, None] + 1
+        scores, base = None, 0
+        for i in range(most):
+            if scores is None or i >= base + PIECE:
+                base, scores = i, self._scores(text, runs, size, i, min(i + PIECE, most))
+            through = best[:, i, :, None] + self.t
+            before = through.argmax(1).astype(np.int8)
+            got = through.max(1)[:, None, :] + scores[:, i - base]
+            old = best[:, i + 1 : i + 1 + MAX_ATOMS]
+            better = got > old
+            old[better] = got[better]
+            np.copyto(came[:, i + 1 : i + 1 + MAX_ATOMS], wide, where=better)
+            np.copyto(prev[:, i + 1 : i + 1 + MAX_ATOMS], before[:, None, :], where=better)
+        out = []
+        for k in range(n):
+            found, at, y = [], int(size[k]), int(best[k, size[k]].argmax())
+            while at > 0:
+                i, p = at - int(came[k, at, y]), int(prev[k, at, y])
+                if y:
+                    found.append((i, at, y))
+                at, y = i, p
+            out.append(found[::-1])
+        return out
+
+    def _scores(self, text: str, runs: list[np.ndarray], size: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Scores of the atoms lo:hi of each run (runs x atoms x MAX_ATOMS x labels)."""
+        out = np.full((len(runs), hi - lo, MAX_ATOMS, len(LABELS)), -np.inf)
+        near = [(k, r[lo : hi + MAX_ATOMS]) for k, r in enumerate(runs) if len(r) > lo]
+        ends = np.concatenate([np.full(len(r), e) for (_, r), e in zip(near, np.cumsum([len(r) for _, r in near]), strict=True)])
+        first, count, feature = lattice(text, np.concatenate([r for _, r in near]), ends)
+        table = self.scores(first, count, feature, len(ends))
+        at = 0
+        for k, r in near:
+            m = min(len(r), hi - lo)
+            out[k, :m] = table[at : at + m]
+            at += len(r)
+        return out
+
+    def marginals(self, scores: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """log Z, the probability of each segment and label, and the expected number of each pair of labels that follow each other."""
+        n, _, labels = scores.shape
+        alpha, beta = np.full((n + 1, labels), -np.inf), np.full((n + 1, labels), -np.inf)
         alpha[0, 0], beta[n] = 0, 0
-        logs = lambda x, axis: (m := x.max(axis)) + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis))
-        bar = np.where(np.array([segments[k][1] - segments[k][0] for k in range(len(segments))])[:, None] > 1, np.eye(1, labels)[0] * -1e30, 0.0)
-        score = score + bar
-        for k in order:
-            i, j, _ = segments[k]
-            alpha[j] = np.logaddexp(alpha[j], logs(alpha[i][:, None] + self.t, 0) + score[k])
-        for k in reversed(order):
-            i, j, _ = segments[k]
-            beta[i] = np.logaddexp(beta[i], logs(self.t + (score[k] + beta[j])[None, :], 1))
-        total = beta[0, 0]
-        was = 0
-        for k in order:
-            i, j, f = segments[k]
-            p = np.exp(np.clip(alpha[i][:, None] + self.t + (score[k] + beta[j])[None, :] - total, -60, 0))
-            y = gold.get((i, j), 0 if j == i + 1 and not any(a <= i and j <= b for a, b in gold) else None)
-            self.w[f] -= rate * p.sum(0)
-            self.t -= rate * p
-            if y is not None:
-                self.w[f, y] += rate
-                self.t[was, y] += rate
-                was = y
+        total = lambda x, axis: (m := np.maximum(x.max(axis), -1e300)) + np.log(np.maximum(np.exp(x - np.expand_dims(m, axis)).sum(axis), 1e-300))
+        steps = [min(MAX_ATOMS, n - i) for i in range(n)]
+        for i, k in enumerate(steps):
+            into = total(alpha[i][:, None] + self.t, 0)
+            alpha[i + 1 : i + 1 + k] = np.logaddexp(alpha[i + 1 : i + 1 + k], into[None, :] + scores[i, :k])
+        for i in range(n - 1, -1, -1):
+            on = total(scores[i, : steps[i]] + beta[i + 1 : i + 1 + steps[i]], 0)
+            beta[i] = total(self.t + on[None, :], 1)
+        z = float(beta[0, 0])
+        p, pairs = np.zeros_like(scores), np.zeros((labels, labels))
+        for i, k in enumerate(steps):
+            tail = scores[i, :k] + beta[i + 1 : i + 1 + k]
+            into = total(alpha[i][:, None] + self.t, 0)
+            p[i, :k] = np.exp(np.minimum(into[None, :] + tail - z, 0))
+            pairs += np.exp(np.minimum(alpha[i][:, None] + self.t + total(tail, 0)[None, :] - z, 0))
+        return z, p, pairs
+
+    def step(self, n: int, segments: tuple[np.ndarray, np.ndarray, np.ndarray], gold: dict[tuple[int, int], int], rate: float) -> None:
+        """One step up the gradient of log p(gold segments | run); all expectations are of the weights before the step."""
+        first, count, feature = segments
+        _, p, pairs = self.marginals(self.scores(first, count, feature, n))
+        change = -p[first, count - 1]
+        follow = -pairs
+        row = {(i, c): k for k, (i, c) in enumerate(zip(first.tolist(), count.tolist(), strict=True))}
+        at, was, starts = 0, 0, {i: (j, y) for (i, j), y in gold.items()}
+        while at < n:
+            j, y = starts.get(at, (at + 1, 0))
+            change[row[at, j - at], y] += 1
+            follow[was, y] += 1
+            at, was = j, y
+        for k in range(feature.shape[1]):
+            np.add.at(self.w, feature[:, k], rate * change)
+        self.w[N_FEATURES] = 0
+        self.t += rate * follow
 
 
 def examples(count: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -281,10 +383,13 @@ def trained(count: int = 500, epochs: int = 4) -> SemiMarkov:
     prepared = []
     for line, spans in examples(count):
         for a, b in runs(line):
-            atoms, segments = lattice(line, a, b)
-            at, end = {s: k for k, (s, _) in enumerate(atoms)}, {e: k + 1 for k, (_, e) in enumerate(atoms)}
+            atoms = atoms_of(line, a, b)
+            if not len(atoms):
+                continue
+            segments = lattice(line, atoms, np.full(len(atoms), len(atoms)))
+            at, end = {s: k for k, (s, _) in enumerate(atoms.tolist())}, {e: k + 1 for k, (_, e) in enumerate(atoms.tolist())}
             gold = {(at[s], end[e]): LABELS.index(kind) for s, e, kind in spans if s in at and e in end}
-            known = {(i, j) for i, j, _ in segments}
+            known = {(i, i + c) for i, c in zip(segments[0].tolist(), segments[1].tolist(), strict=True)}
             if set(gold) <= known:
                 prepared.append((len(atoms), segments, gold))
     for e in range(epochs):
@@ -293,20 +398,49 @@ def trained(count: int = 500, epochs: int = 4) -> SemiMarkov:
     return model
 
 
-def added_spans(model: SemiMarkov, text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """What the model finds that touches no base span."""
-    out = []
-    busy = sorted(taken)
-    for a, b in runs(text):
-        if any(s <= a and b <= e for s, e in busy):
-            continue
-        atoms, segments = lattice(text, a, b)
-        if not segments:
-            continue
-        for i, j, y in model.decode(len(atoms), segments):
-            s, e = atoms[i][0], atoms[j - 1][1]
-            if j > i + 1 and not any(s < q and p < e for p, q in busy):
-                out.append((LABELS[y], s, e))
+def added_spans(model: SemiMarkov, texts: list[str], taken: list[list[tuple[int, int]]]) -> list[list[tuple[str, int, int]]]:
+    """What the model finds in each text that touches no base span (``taken``, by text).
+
+    The runs of many texts are copied side by side, with what stands around them, and decoded together; a long run makes a batch by itself.
+    """
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    parts: list[str] = []
+    places: list[tuple[int, int, int, int]] = []  # text, shift, run
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        joint = "".join(parts)
+        atoms = [atoms_of(joint, a, b) for _, _, a, b in places]
+        for (k, shift, _, _), mine, found in zip(places, atoms, model.decode(joint, atoms), strict=True):
+            busy = sorted(taken[k])
+            starts = [p for p, _ in busy]
+            reach = list(itertools.accumulate((q for _, q in busy), max))
+            for i, j, y in found:
+                s, e = int(mine[i, 0]) - shift, int(mine[j - 1, 1]) - shift
+                before = bisect_left(starts, e)  # base spans that start before e: does one of them end behind s?
+                if not before or reach[before - 1] <= s:
+                    out[k].append((LABELS[y], s, e))
+        parts.clear()
+        places.clear()
+        size = 0
+
+    for k, text in enumerate(texts):
+        whole = sorted(taken[k])
+        reach = list(itertools.accumulate((q for _, q in whole), max))
+        for a, b in runs(text):
+            before = bisect_right(whole, (a, len(text) + 1))
+            if before and reach[before - 1] >= b:
+                continue
+            low = max(0, a - CONTEXT)
+            piece = "\n" * (low == 0) + text[low : b + 1] + "\n"
+            shift = size + (low == 0) - low
+            places.append((k, shift, a + shift, b + shift))
+            parts.append(piece)
+            size += len(piece)
+            if size > JOINT:
+                flush()
+    flush()
     return out
 
 
@@ -327,21 +461,20 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mod
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in kernel.pieces(batch.column(1)):
-                counts: list[list[int]] = [[] for _ in BASE]
-                digests, every = [], []
-                for t in texts.to_pylist():
-                    if not t or not _MARKED.search(t):
-                        for c in counts:
-                            c.append(0)
-                        digests.append(empty)
-                        every.append("")
-                        continue
+                n = len(texts)
+                counts = [[0] * n for _ in BASE]
+                digests, every = [empty] * n, [""] * n
+                some = [(k, t) for k, t in enumerate(texts.to_pylist()) if t and _MARKED.search(t)]
+                bases = []
+                for k, t in some:
                     found = base_spans(t)
-                    base = [(k, s, e) for k in BASE for s, e in found[k]]
-                    for c, k in zip(counts, BASE, strict=True):
-                        c.append(len(found[k]))
-                    digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                    every.append(joined(base + added_spans(crf, t, [(s, e) for _, s, e in base])))
+                    bases.append([(kind, s, e) for kind in BASE for s, e in found[kind]])
+                    for c, kind in zip(counts, BASE, strict=True):
+                        c[k] = len(found[kind])
+                added = added_spans(crf, [t for _, t in some], [[(s, e) for _, s, e in base] for base in bases])
+                for (k, _), base, more in zip(some, bases, added, strict=True):
+                    digests[k] = hashlib.sha256(joined(base).encode()).hexdigest()
+                    every[k] = joined(base + more)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(every)], names=["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
