@@ -1,10 +1,12 @@
 """Secret scans by multipart credential linking, in column expressions and window functions only.
 
 Strong parts stand alone: assigned secrets, access identifiers, long hexadecimal strings. Weak parts (account names, endpoints,
-unassigned random-looking strings) are candidates. Within a document, each part's interval is widened by ``REACH`` code points and
-joined with the parts it meets; a weak candidate is reported only where the parts that complete it are among them: an account or
-endpoint needs a secret and either of the two others, a random-looking string needs an account or access identifier and an endpoint.
-The interval join is one ordered window per document over the starts and widened ends of the few parts of documents that hold parts
+unassigned random-looking strings) are candidates. Scopes are the sections of a text: a line that holds only a name in square brackets or a
+rule, or two empty lines, begins the next. Within a scope, each part's interval is widened by ``REACH`` code points and joined with the
+parts it meets; a weak candidate is reported only where the parts that complete it are among them: an account or endpoint needs a
+secret and either of the two others, a random-looking string needs an account or access identifier and an endpoint. A weak candidate
+inside another part (a random-looking piece of an endpoint, say) is no part of its own: one string never plays two roles.
+The interval join is an ordered window per scope over the starts and widened ends of the few parts of documents that hold parts
 of two roles; it makes no pair rows and no document's text takes part in it.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.cluster import checkpoint
-from quarry.llm.sqltext import SPAN, joined, no_spans, of_kind, spans
+from quarry.llm.sqltext import joined, no_spans, of_kind, replaced, spans
 
 REACH = 200
 BASE = ["assign", "access", "hex"]
@@ -24,7 +26,9 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ACCOUNT = r"""(?i:user(?:name)?|login|account|client_?id|access_key_id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
 ENDPOINT = r"""(?:https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>,;]+"""
-RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,}"
+#: A digit, a capital and a small letter, each wherever in the string.
+RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}"
+BREAK = r"\n[ \t]*(?:\[[^\]\n]+\]|[-=#*_]{3,})[ \t]*(?=\n|$)|\n(?:[ \t]*\n){2,}"
 MARK = "[SECRET]"
 _FOUND = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -54,13 +58,15 @@ def base_parts(t: Column) -> list[Column]:
 
 
 def _weak_parts(t: Column) -> list[Column]:
+    """The spans of each weak kind, and the breaks between scopes."""
     low = F.lower(t)
-    hint = _any(low, "user", "login", "account", "client", "access_key") | F.contains(t, F.lit("AKIA"))
+    who = _any(low, "user", "login", "account", "client", "access_key")
     there = F.contains(t, F.lit("://"))
     return [
-        F.when(_any(low, "user", "login", "account", "client", "access_key"), spans(t, ACCOUNT)).otherwise(no_spans()),
+        F.when(who, spans(t, ACCOUNT)).otherwise(no_spans()),
         F.when(there, spans(t, ENDPOINT)).otherwise(no_spans()),
-        F.when(there & hint, spans(t, RANDOM)).otherwise(no_spans()),
+        F.when(there & (who | F.contains(t, F.lit("AKIA"))), spans(t, RANDOM)).otherwise(no_spans()),
+        F.when(F.contains(t, F.lit("\n")) & (who | there), spans(t, BREAK)).otherwise(no_spans()),
     ]
 
 
@@ -71,22 +77,27 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _parts(rows: DataFrame) -> DataFrame:
-    cols = [x.alias(k) for k, x in zip(KINDS, [*base_parts(F.col("t")), *_weak_parts(F.col("t"))], strict=True)]
+    cols = [x.alias(k) for k, x in zip([*KINDS, "break"], [*base_parts(F.col("t")), *_weak_parts(F.col("t"))], strict=True)]
     return rows.select("id", "key", *cols)
 
 
 def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """(key, linked): the weak candidates that complementary parts stand within reach of."""
+    """(key, linked): the weak candidates that complementary parts of their scope stand within reach of."""
     secret = F.size("assign") + F.size("hex") + F.size("random")
     who, where = F.size("access") + F.size("account"), F.size("endpoint")
     roles = (secret > 0).cast("int") + (who > 0).cast("int") + (where > 0).cast("int")
-    some = parts.filter((roles >= 2) & (F.size("account") + F.size("endpoint") + F.size("random") > 0))
-    rows = some.select("key", F.explode(F.concat(*(of_kind(F.col(k), k) for k in KINDS))).alias("p")).select("key", "p.*").distinct()
+    some = parts.filter((roles >= 2) & (F.size("account") + F.size("endpoint") + F.size("random") > 0)).dropDuplicates(["key"])
+    rows = some.select("key", F.explode(F.concat(*(of_kind(F.col(k), k) for k in [*KINDS, "break"]))).alias("p")).select("key", "p.*")
+    in_order = Window.partitionBy("key").orderBy("start", F.col("end").desc(), "kind")
+    broken = F.sum((F.col("kind") == "break").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    around = F.max(F.when(F.col("kind") != "break", F.col("end"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    inner = F.col("kind").isin("account", "endpoint", "random") & (F.col("end") <= F.coalesce("around", F.lit(-1)))
+    rows = rows.select("*", broken.alias("scope"), around.alias("around")).filter((F.col("kind") != "break") & ~inner)
     # A part meets what starts by end + reach and ends from start - reach on. Each part is added at its start and asks at end + reach,
     # after what is added there: of a role, the furthest end so far tells whether one meets it.
     asks = F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("ask")), F.struct((F.col("end") + reach).alias("at"), F.lit(1).alias("ask")))
-    events = rows.select("*", F.explode(asks).alias("x")).select("key", "kind", "start", "end", "x.*")
-    so_far = Window.partitionBy("key").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = rows.select("*", F.explode(asks).alias("x")).select("key", "scope", "kind", "start", "end", "x.*")
+    so_far = Window.partitionBy("key", "scope").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     roles = {"secret": ["assign", "hex", "random"], "who": ["access", "account"], "where": ["endpoint"], "strong": ["assign", "hex"]}
     meets = {role: F.max(F.when((F.col("ask") == 0) & F.col("kind").isin(kinds), F.col("end"))).over(so_far) >= F.col("start") - reach for role, kinds in roles.items()}
     flagged = events.select("*", *(F.coalesce(x, F.lit(False)).alias(f"has_{k}") for k, x in meets.items())).filter("ask = 1")
@@ -140,17 +151,9 @@ def _redacted(docs: DataFrame, doc_id: str, text: str, chars: str | None, reach:
     parts = checkpoint(_parts(_keyed(docs, doc_id, text)).filter(F.size(F.concat(*(F.col(k) for k in KINDS))) > 0).drop("id").dropDuplicates(["key"]))
     found = parts.join(linked(parts, reach), "key", "left")
     every = F.concat(*(of_kind(F.col(k), k) for k in BASE), F.coalesce("linked", F.array().cast(_FOUND)))
-    found = found.select(F.col("key").alias("__key"), F.array_sort(F.transform(every, lambda x: F.struct(x["start"], x["end"]))).alias("__spans")).filter(F.size("__spans") > 0)
+    found = found.select(F.col("key").alias("__key"), F.transform(every, lambda x: F.struct(x["start"], x["end"])).alias("__spans")).filter(F.size("__spans") > 0)
     joined_rows = docs.withColumn("__k", key).join(found, F.col("__k") == F.col("__key"), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(text))))
-    done_rows = joined_rows.withColumn("__new", F.when(F.col("__spans").isNull(), F.col(text)).otherwise(done))
+    done_rows = joined_rows.withColumn("__new", F.when(F.col("__spans").isNull(), F.col(text)).otherwise(replaced(F.col(text), F.col("__spans"), mark)))
     kept = F.col("__spans").isNull()
     put = {text: F.col("__new")} | ({chars: F.when(kept, F.col(chars)).otherwise(F.length("__new")).cast(docs.schema[chars].dataType)} if chars else {})
     return done_rows.select(*(put.get(c, F.col(c)).alias(c) for c in names))
