@@ -124,6 +124,8 @@ class Tree:
         while k < len(marks):
             first = min(bisect_right(self.ends, max(marks[k][0] - 1, 0)), len(self.ends) - 1)
             first = max(first - 1, done) if first else 0
+            while first > done and self.ends[first] == self.ends[first - 1]:  # emptied by an earlier edit: it holds no border of a pre-token
+                first -= 1
             start = (self.ends[first - 1] if first else 0) + shift
             now, tokens, leaf, moved = start, 0, first, shift
             resumed = False
@@ -188,6 +190,44 @@ def token_trees(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(build, f"id {kind}, n_tokens long, leaf_ends array<int>, sums array<int>").withColumnRenamed("id", doc_id)
 
 
+def edit_trees(trees: DataFrame, edits: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Stored trees with edits applied: doc_id, text, n_tokens, leaf_ends, sums, n_edits, n_encoded, ready to be stored again.
+
+    trees: ``token_trees`` beside the text that each was built from. edits: rows (doc_id, start, end, replacement), places in code points of
+    the stored text. Only the leaves around an edit are encoded again. Edits of a document go in order of their places; one that
+    overlaps the one before it, has a null place, or reaches beyond the text is left out, and n_edits counts the others. A
+    null replacement is empty. Documents without edits come back as they are; edits without a document change nothing. Rows that repeat an
+    id all get its edits; rows without an id get none. Other columns of either table are ignored. Empty tables give what there is.
+    """
+    where = path or vocabulary()
+    kind = trees.schema[doc_id].dataType.simpleString()
+    some = edits.select(F.col(doc_id).cast(kind).alias("__id"), F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce(F.col("replacement").cast("string"), F.lit("")).alias("new")).alias("e"))
+    # A document's edits are apart, so there are no more of them than it has characters.
+    some = some.filter("__id IS NOT NULL AND e.start IS NOT NULL AND e.end IS NOT NULL AND e.start >= 0 AND e.end >= e.start").groupBy("__id").agg(F.array_sort(F.collect_set("e")).alias("__edits"))
+    rows = trees.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), "n_tokens", "leaf_ends", "sums").join(some, F.col("id") == F.col("__id"), "left").drop("__id")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(where)
+        for batch in batches:
+            out: list[tuple] = []
+            for _, t, n, ends, sums, todo in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if not todo:
+                    out.append((t, n, ends, sums, 0, 0))
+                    continue
+                apart: list[tuple[int, int, str]] = []
+                for e in todo:
+                    if e["end"] <= len(t) and (not apart or e["start"] >= apart[-1][1] and (e["start"], e["end"]) != apart[-1][:2]):
+                        apart.append((e["start"], e["end"], e["new"]))
+                tree = Tree(list(ends), list(sums))
+                new, encoded = tree.edit(t, apart, count)
+                out.append((new, tree.total, tree.ends, tree.sums, len(apart), encoded))
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            cols = [pa.array(list(c), x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], x) for x in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "text", "n_tokens", "leaf_ends", "sums", "n_edits", "n_encoded"])
+
+    return rows.mapInArrow(apply, f"id {kind}, text string, n_tokens long, leaf_ends array<int>, sums array<int>, n_edits long, n_encoded long").withColumnRenamed("id", doc_id)
+
+
 def count_edited(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None, edits=masks) -> DataFrame:
     """One row per document: n_tokens, n_edits, n_tokens_edited and n_encoded (tokens encoded again for the edits).
 

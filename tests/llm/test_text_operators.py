@@ -576,3 +576,37 @@ def test_long_benchmark_item(word):
     tracemalloc.stop()
     assert m["full"].max() == 50_000 and m["full"][m["start"] == 50_001].max() == 40_000
     assert [index.sets[s].tolist() for s in np.unique(index.set_of[m["window"]])] == [[0, 1]]
+
+
+def test_successive_edits():
+    count, r, made = token_counts.counter(token_counts.vocabulary()), random.Random(7), 0
+    bits = ["a", "b", " ", "  ", "\n", "'", "s", "ll", "é", "中", "1", "22", ".", "!!", "\t", "word", " the", "x²"]
+    while made < 20_000:
+        now = "".join(r.choice(bits) for _ in range(r.randint(0, 80)))
+        tree = token_counts.Tree.of(now, count, leaf=r.choice((1, 2, 3, 8, 32)))
+        for _ in range(5):
+            cuts = sorted(r.sample(range(len(now) + 1), min(len(now) + 1, 2 * r.randint(1, 4)) // 2 * 2))
+            edits = [(a, b, "".join(r.choice(bits) for _ in range(r.randint(0, 4)))) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            was = now
+            now, _ = tree.edit(now, edits, count)
+            assert tree.total == len(count.rule.encode_ordinary(now)), (was, edits)
+            assert tree.ends == sorted(tree.ends) and (not tree.ends or tree.ends[-1] == len(now))
+            made += 1
+
+
+def test_stored_trees_follow_edits(spark):
+    rows = [(1, "Some text, with words."), (2, None), (3, "unchanged text"), (None, "no id"), (4, long_text(2000)), (5, "tw ice"), (5, "tw ice")]
+    table = docs(spark, rows)
+    stored = token_counts.token_trees(table).withColumnRenamed("doc_id", "d").join(table.select(F.col("doc_id").alias("d2"), "text"), F.col("d").eqNullSafe(F.col("d2"))).dropDuplicates(["d", "text"]).withColumnRenamed("d", "doc_id")
+    count = token_counts.counter(token_counts.vocabulary())
+    edits = [(1, 0, 4, "Any"), (1, 2, 9, "overlaps"), (1, 22, 22, " More."), (2, 0, 0, "new"), (4, 100, 105, None), (5, 2, 3, ""), (1, 9, 99, "beyond"), (1, None, 3, "x"), (None, 0, 1, "x"), (77, 0, 1, "x")]
+    first = token_counts.edit_trees(stored, spark.createDataFrame(edits, "doc_id long, start long, end long, replacement string"))
+    got = {r.doc_id: r for r in first.collect()}
+    t4 = long_text(2000)
+    assert {i: r.text for i, r in got.items()} == {1: "Any text, with words. More.", 2: "new", 3: "unchanged text", None: "no id", 4: t4[:100] + t4[105:], 5: "twice"}
+    assert all(r.n_tokens == len(count.rule.encode_ordinary(r.text)) == (r.sums[1] if r.text else 0) for r in got.values())
+    assert {i: r.n_edits for i, r in got.items()} == {1: 2, 2: 1, 3: 0, None: 0, 4: 1, 5: 1} and got[4].n_encoded < 400 and got[3].n_encoded == 0
+    again = token_counts.edit_trees(first, spark.createDataFrame([(4, 0, 50, "Z z"), (2, 3, 3, "er")], "doc_id long, start long, end long, replacement string"))
+    assert all(r.n_tokens == len(count.rule.encode_ordinary(r.text)) for r in again.collect())
+    none = spark.createDataFrame([], "doc_id long, start long, end long, replacement string")
+    assert token_counts.edit_trees(stored, none).count() == 6 and token_counts.edit_trees(stored.limit(0), none).count() == 0
