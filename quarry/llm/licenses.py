@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in column expressions only.
 
-A text is reduced to its lower-cased words, one space apart. Rules are made from families of licences (name, keyword) and the
-forms in which they are referred to; each is a regular expression on the words, tried only where its keyword occurs, with a priority
-and a weight. Of the detections, one that lies inside another is suppressed; of equal ones, the rule of higher priority stays.
+A text is reduced to its lower-cased words, one space apart. The rules (``signatures``) are regular expressions on the words, written by
+hand for names, identifiers, references and passages of licences; each is tried only where its keyword occurs, and has a priority (its
+place in the list) and a weight. Of the detections, one that lies inside another is suppressed; of equal ones, the first rule's stays.
 Detections are resolved in one ordered pass per document, in that document's row: nothing is shuffled.
 """
 
@@ -13,73 +13,24 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.sqltext import lower_ascii, spans
+from quarry.llm import signatures
+from quarry.llm.sqltext import let, lower_ascii, spans
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels, fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: label, keyword, name as words. Every match of the name has the keyword as a word, or anywhere if it is one of PARTS.
-PARTS = ("gpl",)
-FAMILIES = [
-    ("apache-1.0", "apache", "apache (?:software )?license(?: version| v)? 1 0"), ("apache-1.1", "apache", "apache (?:software )?license(?: version| v)? 1 1"),
-    ("apache-2.0", "apache", "apache (?:software )?license(?: version| v)? 2(?: 0)?"), ("apache", "apache", "apache (?:software )?licen[cs]e"),
-    ("mit", "mit", "mit licen[cs]e"), ("mit", "expat", "expat licen[cs]e"), ("mit", "x11", "x11 licen[cs]e"), ("mit-0", "mit", "mit no attribution(?: license)?"),
-    ("isc", "isc", "isc licen[cs]e"), ("bsd-2-clause", "bsd", "(?:(?:2|two) clause bsd|simplified bsd)(?: license)?"), ("bsd-2-clause", "freebsd", "freebsd(?: licen[cs]e)?"),
-    ("bsd-3-clause", "bsd", "(?:(?:3|three) clause bsd|new bsd|modified bsd|revised bsd)(?: license)?"), ("bsd-4-clause", "bsd", "(?:(?:4|four) clause bsd|original bsd|old bsd)(?: license)?"),
-    ("bsd-0-clause", "bsd", "(?:0|zero) clause bsd(?: license)?"), ("bsd", "bsd", "bsd(?: style)? licen[cs]e"),
-    ("gpl-1.0", "general", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 1(?: 0)?"),
-    ("gpl-2.0", "general", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 2(?: 0)?"),
-    ("gpl-3.0", "general", "(?:gnu )?general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v)? 3(?: 0)?"),
-    ("gpl", "general", "(?:gnu )?general public licen[cs]e"), ("gpl-2.0", "gpl", "gpl ?(?:version |v)?2(?: 0)?"), ("gpl-3.0", "gpl", "gpl ?(?:version |v)?3(?: 0)?"), ("gpl", "gpl", "(?:gnu )?gpl"),
-    ("lgpl-2.0", "library", "(?:gnu )?library general public licen[cs]e(?: version| v)? 2(?: 0)?"), ("lgpl-2.1", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: version| v)? 2 1"),
-    ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public licen[cs]e(?: version| v)? 3(?: 0)?"), ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e"), ("lgpl", "gpl", "(?:gnu )?lgpl(?: ?v?[0-9](?: [0-9])?)?"),
-    ("agpl-3.0", "affero", "(?:gnu )?affero general public licen[cs]e(?: version| v)? 3(?: 0)?"), ("agpl", "affero", "(?:gnu )?affero general public licen[cs]e"), ("agpl", "gpl", "(?:gnu )?agpl(?: ?v?3(?: 0)?)?"),
-    ("mpl-1.1", "mozilla", "mozilla public licen[cs]e(?: version| v)? 1 1"), ("mpl-2.0", "mozilla", "mozilla public licen[cs]e(?: version| v)? 2(?: 0)?"), ("mpl", "mozilla", "mozilla public licen[cs]e"),
-    ("epl-1.0", "eclipse", "eclipse public licen[cs]e(?: version| v)? 1(?: 0)?"), ("epl-2.0", "eclipse", "eclipse public licen[cs]e(?: version| v)? 2(?: 0)?"), ("epl", "eclipse", "eclipse public licen[cs]e"),
-    ("cddl-1.0", "cddl", "cddl(?: version| v)?(?: 1 0)?"), ("cddl-1.0", "distribution", "common development and distribution licen[cs]e"), ("cpl-1.0", "common", "common public licen[cs]e"),
-    ("eupl-1.2", "european", "european union public licen[cs]e(?: version| v)?(?: 1 2)?"), ("artistic-2.0", "artistic", "artistic licen[cs]e 2 0"), ("artistic", "artistic", "artistic licen[cs]e"),
-    ("boost-1.0", "boost", "boost software licen[cs]e"), ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e"), ("unlicense", "unlicense", "(?:the )?unlicense"), ("wtfpl", "wtfpl", "wtfpl"),
-    ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?"), ("python-2.0", "python", "python software foundation licen[cs]e"), ("ofl-1.1", "sil", "sil open font licen[cs]e"), ("odbl-1.0", "database", "open database licen[cs]e"),
-    ("ms-pl", "microsoft", "microsoft public licen[cs]e"), ("public-domain", "domain", "(?:in|to|into) the public domain"), ("postgresql", "postgresql", "postgresql licen[cs]e"), ("ruby", "ruby", "ruby licen[cs]e"),
-    ("proprietary", "proprietary", "proprietary and confidential"), ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"), ("reserved", "reserved", "all rights reserved"),
-]
-#: Short identifiers that stand for a licence wherever they are: label, keyword, words.
-IDS = [
-    ("apache-1.0", "apache", "apache 1 0"), ("apache-1.1", "apache", "apache 1 1"), ("apache-2.0", "apache", "apache 2 0"), ("bsd-0-clause", "0bsd", "0bsd"), ("bsd-2-clause", "clause", "bsd 2 clause"),
-    ("bsd-3-clause", "clause", "bsd 3 clause"), ("bsd-4-clause", "clause", "bsd 4 clause"), ("mpl-1.1", "mpl", "mpl 1 1"), ("mpl-2.0", "mpl", "mpl 2 0"), ("epl-1.0", "epl", "epl 1 0"), ("epl-2.0", "epl", "epl 2 0"),
-    ("cpl-1.0", "cpl", "cpl 1 0"), ("eupl-1.2", "eupl", "eupl 1 2"), ("boost-1.0", "bsl", "bsl 1 0"), ("ofl-1.1", "ofl", "ofl 1 1"), ("odbl-1.0", "odbl", "odbl 1 0"), ("ms-pl", "pl", "ms pl"),
-]
-#: Those that are words or numbers in other texts too: only in forms that say a licence is meant.
-SHORT_IDS = [("mit", "mit", "mit"), ("mit-0", "mit", "mit 0"), ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"), ("artistic-2.0", "artistic", "artistic 2 0"), ("python-2.0", "python", "python 2 0"), ("python-2.0", "psf", "psf 2 0"), ("postgresql", "postgresql", "postgresql"), ("ruby", "ruby", "ruby")]
-CREATIVE = {"by": "attribution", "by sa": "attribution share ?alike", "by nc": "attribution non ?commercial", "by nd": "attribution no ?deriv(?:ative)?s?(?: works)?", "by nc sa": "attribution non ?commercial share ?alike", "by nc nd": "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"}
-#: form, weight; ordered by priority.
-FORMS = [
-    (r"(?:spdx )?licen[cs]e(?: identifier)? {}(?: only| or later)?", 0.99), (r"(?:is |are )?(?:licensed|released|distributed|made available|available) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}", 0.95),
-    (r"(?:subject to|governed by|in accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}", 0.9), (r"(?:see|read) the {}(?: for (?:more )?details)?", 0.8), (r"{}", 0.7),
-]
-#: Forms of this weight or more say that a licence is meant.
-STATED = 0.9
+#: Words or parts of them of which every match holds one, but for those that an ordinary preposition and a short identifier make up.
+GATE = ["licen", "gpl", "copyright", " cc ", "cc0", "creative commons", "public domain", "proprietary", "rights reserved", "permi", "redistribut", "warrant", " clause ", "apache", "advertising materials"]
+VERSION = " [0-9] [0-9]+ "
+BEFORE = [" under ", "subject to ", "governed by ", "in accordance with "]
+SHORT_IDS = ["mit", "expat", "isc", "0bsd", "bsd", "artistic", "zlib", "psf", "ruby", "postgresql", "wtfpl"]
 
 
+@functools.cache
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, weight): families in all forms, the most specific first. Every match, with the space on each side, contains the keyword."""
-    named = list(FAMILIES)
-    for version in ("4 0", "3 0", "2 0", "1 0"):
-        for short, words in CREATIVE.items():
-            label = f"cc-{short.replace(' ', '-')}-{version.replace(' ', '.')}"
-            named.append((label, "cc", f"cc {short} {version}"))
-            named.append((label, "creative", f"creative commons {words}(?: international| unported| generic)?(?: public)?(?: licen[cs]e)?(?: version)? {version}"))
-    for short, words in CREATIVE.items():
-        named.append((f"cc-{short.replace(' ', '-')}", "cc", f"cc {short}"))
-        named.append((f"cc-{short.replace(' ', '-')}", "creative", f"creative commons {words}"))
-    named += IDS
-    out = []
-    for form, weight in FORMS:
-        for label, keyword, name in named + (SHORT_IDS if weight >= STATED else []):
-            keyword = keyword if keyword in PARTS else f" {keyword} "
-            out.append((label, keyword, f"(?<= ){form.format(f'(?:{name})')}(?= )", len(out), weight))
-    return out
+    """(label, keyword, pattern, priority, weight) of the signatures. Every match, with the space on each side, contains the keyword."""
+    return [(label, keyword if keyword in signatures.PARTS else f" {keyword} ", f"(?<= )(?:{p})(?= )", k, w) for k, (label, keyword, w, p) in enumerate(signatures.table())]
 
 
 def phrase_places(words: Column, n_words: Column, phrase: str) -> Column:
@@ -93,11 +44,22 @@ def phrase_places(words: Column, n_words: Column, phrase: str) -> Column:
 
 
 def detections(words: Column) -> Column:
-    """array of struct(start, minus_end, priority, label, weight) by place, longest first, then priority."""
-    table = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(keyword).alias("keyword"), F.lit(p).alias("pattern"), F.lit(k).alias("priority"), F.lit(w).alias("weight")) for label, keyword, p, k, w in rules()))
-    tried = F.filter(table, lambda r: F.contains(words, r["keyword"]) & F.rlike(words, r["pattern"]))
-    found = F.flatten(F.transform(tried, lambda r: F.transform(spans(words, r["pattern"]), lambda s: F.struct(s["start"], (-s["end"]).alias("minus_end"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
-    return F.array_sort(found)
+    """array of struct(start, minus_end, priority, label, weight) by place, longest first, then priority.
+
+    Each signature is an expression of its own, compiled once, tried where its keyword stands; positions are found for those that match.
+    """
+    by_keyword: dict[str, list[Column]] = {}
+    label, pattern, weight = [], [], []
+    for name, keyword, p, k, w in rules():
+        by_keyword.setdefault(keyword, []).append((p, k))
+        label.append(F.lit(name))
+        pattern.append(F.lit(p))
+        weight.append(F.lit(w))
+    none = F.array().cast("array<int>")
+    tried = lambda text: F.flatten(F.array(*(F.when(F.contains(text, F.lit(keyword)), F.array_compact(F.array(*(F.when(F.rlike(text, F.lit(p)), F.lit(k)) for p, k in few)))).otherwise(none) for keyword, few in by_keyword.items())))
+    of = lambda values, k: F.element_at(F.array(*values), k + 1)
+    placed = lambda text, k: F.transform(spans(text, of(pattern, k)), lambda s: F.struct(s["start"], (-s["end"]).alias("minus_end"), k.alias("priority"), of(label, k).alias("label"), of(weight, k).alias("weight")))
+    return let(words, lambda text: F.array_sort(F.flatten(F.transform(tried(text), lambda k: placed(text, k)))))
 
 
 def resolved(found: Column) -> Column:
@@ -118,15 +80,10 @@ def resolved(found: Column) -> Column:
     return F.aggregate(found, start, step, lambda acc: F.struct(acc["labels"], acc["weight"]))
 
 
-GATE = ["licen", "spdx", "gpl", " cc ", "cc0", "wtfpl", "cddl", "public domain", "proprietary", "copyright", "creative commons", "rights reserved", " bsd ", " freebsd ", " mit no attribution ", *(f" {words} " for _, _, words in IDS)]
-#: Without "licence" in the form, a short identifier counts only behind one of these.
-BEFORE = [" under ", "subject to ", "governed by ", "in accordance with "]
-
-
 def gate(words: Column) -> Column:
     """True of every spaced text that a rule matches."""
     any_of = lambda parts: functools.reduce(lambda a, b: a | b, (F.contains(words, F.lit(p)) for p in parts))
-    return any_of(GATE) | any_of(BEFORE) & any_of(f" {words} " for _, _, words in SHORT_IDS)
+    return any_of(GATE) | F.rlike(words, F.lit(VERSION)) | any_of(BEFORE) & any_of(f" {x} " for x in SHORT_IDS)
 
 
 def find_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -610,3 +610,41 @@ def test_stored_trees_follow_edits(spark):
     assert all(r.n_tokens == len(count.rule.encode_ordinary(r.text)) for r in again.collect())
     none = spark.createDataFrame([], "doc_id long, start long, end long, replacement string")
     assert token_counts.edit_trees(stored, none).count() == 6 and token_counts.edit_trees(stored.limit(0), none).count() == 0
+
+
+PASSAGES = {
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+    "Licensed under the Expat License": "mit",
+    "released under GPLv2 only license": "gpl-2.0",
+    "Licensed under the Apache License, Version 2.0": "apache-2.0",
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+    "Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "BSD Zero Clause License / Boost Software License 1.0": "boost-1.0",
+    "the expatriate copyrights under redistribution": "",
+}
+
+
+def suppressed(text):
+    """Labels of the rules' matches that lie in no earlier (or equal, but of a later rule) match: by comparing every two."""
+    w = f" {' '.join(words(text))} "
+    found = [(m.start(), -m.end(), k, label) for label, _, p, k, _ in licenses.rules() for m in re.finditer(p, w)]
+    inside = lambda x, y: y[0] <= x[0] and x[1] >= y[1] and (y[:3] < x[:3])
+    return {x[3] for x in found if not any(inside(x, y) for y in found)}
+
+
+def test_license_passages_and_suppression(spark, sf):
+    rows = [(k, t) for k, t in enumerate(PASSAGES)]
+    real = [tuple(r) for r in queries.table(spark, sf, "documents").select("doc_id", "text").collect()]
+    r = random.Random(2)
+    made = [(5000 + k, " ".join(expanded(x[2], r) + r.choice(("", " and", " or the")) for x in r.sample(licenses.rules(), 3))) for k in range(150)]
+    every = [*rows, *((1000 + i, t) for i, t in real), *made]
+    texts = dict(every)
+    got = {x.doc_id: x.labels for x in licenses.find_licenses(docs(spark, every)).collect()}
+    for i, labels in got.items():
+        base = {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {' '.join(words(texts[i]))} "}
+        assert labels == ",".join(sorted(base | suppressed(texts[i]))), texts[i]
+    assert {t: set(got[k].split(",")) for k, t in rows} == {t: set(x.split(",")) for t, x in PASSAGES.items()}
