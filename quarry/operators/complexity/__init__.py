@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -83,30 +84,49 @@ def summary(analyzed: DataFrame, key: list[str]) -> DataFrame:
     return rows.withColumn("complexity_grade", M.grade_of_maintainability(F.col("maintainability_index"))).select(*key, "language", "error", "total_complexity", "average_complexity", "cognitive_complexity", "maintainability_index", "complexity_grade", "function_count", "class_count", "lines_of_code", "comment_ratio", "functions")
 
 
+@dataclass(frozen=True)
+class Advice:
+    """One rule: a SQL condition on a summary row and the SQL of its message. ``per`` makes it a rule on functions: it holds where some meet
+    the condition (on ``f``), and ``{n}`` in the message is their number."""
+
+    when: str
+    message: str
+    per: bool = False
+    language: str | None = None
+
+    def text(self) -> Column:
+        found = f"filter(functions, f -> {self.when})" if self.per else ""
+        said = F.expr(self.message.replace("{n}", f"size({found})"))
+        test = F.expr(f"size({found}) > 0" if self.per else self.when)
+        return F.when(test & (F.col("language") == self.language) if self.language else test, said)
+
+
+#: Fixed values in the conditions: the bounds that make a file or function worth a word. In order of urgency.
+ADVICE = [
+    Advice("average_complexity > 10", "format_string('Functions average %.1f decision paths: split the larger ones', average_complexity)"),
+    Advice("maintainability_index < 20", "'Hard to maintain (index under 20): plan a rewrite of the worst parts'"),
+    Advice("maintainability_index >= 20 AND maintainability_index < 40", "'Maintainability index under 40: simplify where changes are frequent'"),
+    Advice("f.depth > 4", "format_string('%d deeply nested (more than 4 levels): return early or move inner blocks out', {n})", per=True),
+    Advice("f.decorator_count > 3", "format_string('%d with more than 3 decorators: merge some of them', {n})", per=True, language="python"),
+    Advice("f.type LIKE '%async%' AND f.complexity > 10", "format_string('%d asynchronous and above 10: separate waiting from deciding', {n})", per=True, language="python"),
+    Advice("f.exception_handlers_count > 3", "'More than 3 exception handlers in one function: handle related errors together'", per=True, language="python"),
+    Advice("f.lambda_count > 2", "'Several lambdas or comprehensions in one function: give them names'", per=True, language="python"),
+    Advice("f.is_recursive AND f.complexity > 10", "'Recursion in a function above 10: try a loop or remember results'", per=True, language="python"),
+    Advice("f.cognitive > f.complexity * 1.5D AND f.complexity > 5", "format_string('%d harder to read than their branches suggest: flatten them', {n})", per=True, language="python"),
+]
+#: Functions above the first bound are named first, those above the second only where there are none; three at most.
+NAMED, LISTED = (20, 10), 3
+
+
 def recommendations(rows: DataFrame) -> DataFrame:
-    """Add ``recommendations`` to summary rows: rules on their functions, in a fixed order."""
-    some = lambda test: F.filter("functions", test)
-    urgent, heavy = some(lambda f: f["complexity"] > 20), some(lambda f: (f["complexity"] > 10) & (f["complexity"] <= 20))
-    name = lambda prefix: lambda f: F.concat(F.lit(prefix), f["name"], F.lit("' (complexity: "), f["complexity"].cast("string"), F.lit(")"))
-    listed = F.concat(F.transform(F.slice(urgent, 1, 3), name("Urgent: Refactor '")), F.when(F.size(urgent) == 0, F.transform(F.slice(heavy, 1, 3), name("Consider refactoring '"))).otherwise(F.array().cast("array<string>")))
-    count = lambda test, text: F.when(F.size(some(test)) > 0, F.concat(F.size(some(test)).cast("string"), F.lit(text)))
-    python_only = lambda c: F.when(F.col("language") == "python", c)
-    any_of = lambda test, text: F.when(F.exists("functions", test), F.lit(text))
-    avg, mi = F.col("average_complexity"), F.col("maintainability_index")
-    rules = F.array(
-        F.when(avg > 10, F.concat(F.lit("High average complexity ("), F.format_number(avg, 1), F.lit("). Consider breaking down functions"))),
-        F.when(mi < 20, "Low maintainability index. Code needs significant refactoring").when(mi < 40, "Moderate maintainability index. Consider improving code structure"),
-        count(lambda f: f["depth"] > 4, " function(s) have deep nesting (>4 levels). Consider extracting nested logic"),
-        python_only(count(lambda f: f["decorator_count"] > 3, " function(s) have excessive decorators (>3). Consider simplifying decorator usage")),
-        python_only(count(lambda f: F.contains(f["type"], F.lit("async")) & (f["complexity"] > 10), " async function(s) have high complexity. Consider breaking down async operations")),
-        python_only(any_of(lambda f: f["exception_handlers_count"] > 3, "Multiple exception handlers detected. Consider consolidating error handling")),
-        python_only(any_of(lambda f: f["lambda_count"] > 2, "Complex comprehensions or multiple lambdas detected. Consider extracting to named functions for clarity")),
-        python_only(any_of(lambda f: f["is_recursive"] & (f["complexity"] > 10), "Complex recursive function(s) detected. Consider iterative approach or memoization")),
-        python_only(count(lambda f: (f["cognitive"] > f["complexity"] * 1.5) & (f["complexity"] > 5), " function(s) have high cognitive complexity relative to cyclomatic. Consider reducing nested logic")),
-    )
-    out = F.concat(listed, F.array_compact(rules))
-    fine = F.when(F.col("complexity_grade").isin("A", "B"), F.array(F.lit("Code complexity is within acceptable limits"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("recommendations", F.when(F.col("error").isNotNull(), F.array().cast("array<string>")).when(F.size(out) == 0, fine).otherwise(out))
+    """Add ``recommendations`` to summary rows: the functions to work on, then what ``ADVICE`` says; a good word where there is neither."""
+    top, next_ = (f"filter(functions, f -> f.complexity > {low} {upto})" for low, upto in ((NAMED[0], ""), (NAMED[1], f"AND f.complexity <= {NAMED[0]}")))
+    say = lambda found, how: f"transform(slice({found}, 1, {LISTED}), f -> format_string('{how}: %s (%d)', f.name, f.complexity))"
+    named = F.expr(f"CASE WHEN size({top}) > 0 THEN {say(top, 'Split now')} ELSE {say(next_, 'Split when next changed')} END")
+    said = F.concat(named, F.array_compact(F.array(*(x.text() for x in ADVICE))))
+    none = F.array().cast("array<string>")
+    fine = F.when(F.col("complexity_grade").isin("A", "B"), F.array(F.lit("Nothing to improve here"))).otherwise(none)
+    return rows.withColumn("recommendations", F.when(F.col("error").isNotNull(), none).when(F.size(said) == 0, fine).otherwise(said))
 
 
 #: Bounds of the bands that a language's metrics are reported in.
@@ -126,23 +146,25 @@ def banded(value: Column, metric: str) -> Column:
     return out.otherwise("extreme")
 
 
+#: Values that can't be, by the column or function field that has them, and values to look at: SQL condition, message.
+IMPOSSIBLE = [("total_complexity < 0", "total_complexity below 0"), ("cognitive_complexity < 0", "cognitive_complexity below 0"), ("maintainability_index > 100", "maintainability_index above 100"), ("comment_ratio > 1", "comment_ratio above 1")]
+IMPOSSIBLE_FUNCTION = [("f.complexity < 1", "complexity below 1"), ("f.cognitive < 0", "cognitive below 0")]
+SUSPICIOUS = [("average_complexity > 50", "average_complexity above 50"), ("function_count = 0 AND lines_of_code > 10", "more than 10 lines and no function")]
+
+
+def _said(rules: list[tuple[str, str]]) -> Column:
+    return F.array_compact(F.array(*(F.when(F.expr(test), F.lit(message)) for test, message in rules)))
+
+
 def validation(rows: DataFrame) -> DataFrame:
     """is_valid, issues (values that can't be) and warnings (values to look at) per file."""
-    each = lambda test, text: F.transform(F.filter("functions", test), lambda f: F.concat(F.lit("Function "), f["name"], F.lit(text)))
-    wrong = F.array_compact(F.array(
-        F.when(F.col("total_complexity") < 0, F.lit("Total complexity cannot be negative")), F.when(F.col("cognitive_complexity") < 0, F.lit("Cognitive complexity cannot be negative")),
-        F.when(F.col("maintainability_index") > 100, F.lit("Maintainability index cannot exceed 100")), F.when(F.col("comment_ratio") > 1, F.lit("Comment ratio cannot exceed 1.0")),
-    ))
-    issues = F.concat(wrong, each(lambda f: f["complexity"] < 1, " has complexity < 1"), each(lambda f: f["cognitive"] < 0, " has negative cognitive complexity"))
-    warnings = F.array_compact(F.array(
-        F.when(F.col("average_complexity") > 50, F.lit("Extremely high average complexity detected")), F.when((F.col("function_count") == 0) & (F.col("lines_of_code") > 10), F.lit("No functions found in non-trivial code")),
-    ))
-    return rows.withColumns({"issues": issues, "warnings": warnings}).withColumn("is_valid", F.size("issues") == 0)
+    each = [F.expr(f"transform(filter(functions, f -> {test}), f -> concat(f.name, ': {message}'))") for test, message in IMPOSSIBLE_FUNCTION]
+    return rows.withColumns({"issues": F.concat(_said(IMPOSSIBLE), *each), "warnings": _said(SUSPICIOUS)}).withColumn("is_valid", F.size("issues") == 0)
 
 
 def with_context(rows: DataFrame, is_test: Column, is_library: Column) -> DataFrame:
     """Mark test files, whose thresholds may be wider, and advise on libraries that average more than 5."""
-    advice = F.when(is_library & (F.col("average_complexity") > 5), F.array(F.lit("Library code should maintain low complexity for ease of use"))).otherwise(F.array().cast("array<string>"))
+    advice = F.when(is_library & (F.col("average_complexity") > 5), F.array(F.lit("Used by others: keep its functions under 5 on average"))).otherwise(F.array().cast("array<string>"))
     return rows.withColumns({"adjusted_thresholds": is_test, "recommendations": F.concat("recommendations", advice)})
 
 

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import re
 
-LOGICAL = re.compile(r"&&|\|\|")
+NOT_CODE = re.compile(r"//[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.DOTALL)
+
+
+def blanked(source: str) -> str:
+    """Comments and literals as blanks, line ends kept."""
+    return NOT_CODE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
 
 
 def comment_ratio(lines: list[str], single: str = "#", start: str = "/*", end: str = "*/") -> float:
@@ -29,13 +34,3 @@ def closing(text: str, at: int, pair: str = "{}") -> int:
         if not depth:
             return at + k.end()
     return -1
-
-
-def brace_depth(text: str, cap: int | None = None) -> int:
-    depth = deepest = 0
-    for c in re.findall("[{}]", text):
-        depth = depth + 1 if c == "{" else max(0, depth - 1)
-        deepest = max(deepest, depth)
-        if cap is not None and deepest > cap:
-            return cap
-    return deepest

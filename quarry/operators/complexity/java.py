@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import re
 
-from quarry.operators.complexity.common import closing, comment_ratio
+from quarry.operators.complexity.common import blanked, closing, comment_ratio
 
-TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.DOTALL)
 TYPE = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
 METHOD = re.compile(r"(?:^|[\s}>\])])(\w+)\s*\(")
 WORD = re.compile(r"->|&&|\|\||\?(?!\s*(?:super|extends|[>,]))|[{}();:]|\.\s*\w+(?=\s*\()|\w+")
@@ -19,11 +18,6 @@ NOT_NAMES = {"if", "for", "while", "switch", "catch", "synchronized", "try", "re
 STREAMS = {"filter", "map", "flatMap", "distinct", "sorted", "peek", "limit", "skip"}
 
 
-def blanked(source: str) -> str:
-    """Comments and literals as blanks, line ends kept."""
-    return TOKEN.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), source)
-
-
 def measures(body: str) -> tuple[int, int, int]:
     """(cyclomatic, cognitive, depth) of a block with its braces."""
     cc, cost, deepest = 1, 0, 0
