@@ -35,28 +35,33 @@ def supported() -> list[str]:
     return sorted(ANALYZERS)
 
 
-def analyze(source: str | None, language: str | None) -> dict:
-    """One file. An unknown language or a broken source is an error with no rows."""
+def analyze(source: str | None, language: str | None, options: dict[str, dict] | None = None, analyzers: dict[str, Callable[..., dict]] = ANALYZERS) -> dict:
+    """One file. An unknown language or a broken source is an error with no rows. options: by language, what its analyzer is asked for."""
     empty = {"error": None, "lines": 0, "comment_ratio": 0.0, "functions": [], "classes": []}
-    if not language or language.lower() not in ANALYZERS:
+    if not language or language.lower() not in analyzers:
         return empty | {"error": f"unsupported language: {language}"}
-    return empty | ANALYZERS[language.lower()](source or "")
+    return empty | analyzers[language.lower()](source or "", **(options or {}).get(language.lower(), {}))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.num_columns - 2
-        out = [analyze(s, g) for s, g in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
-        text = [json.dumps({"functions": r["functions"], "classes": r["classes"]}) for r in out]
-        cols = [*(batch.column(k) for k in range(n)), batch.column(n + 1), pa.array([r["error"] for r in out], pa.string()), pa.array([r["lines"] for r in out], pa.int32()), pa.array([float(r["comment_ratio"]) for r in out]), pa.array(text)]
-        yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "language", "error", "lines_of_code", "comment_ratio", "found"])
+def _rows(options: dict[str, dict] | None):
+    analyzers = dict(ANALYZERS)  # those registered here go to the executors with the task
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns - 2
+            out = [analyze(s, g, options, analyzers) for s, g in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
+            text = [json.dumps({"functions": r["functions"], "classes": r["classes"]}) for r in out]
+            cols = [*(batch.column(k) for k in range(n)), batch.column(n + 1), pa.array([r["error"] for r in out], pa.string()), pa.array([r["lines"] for r in out], pa.int32()), pa.array([float(r["comment_ratio"]) for r in out]), pa.array(text)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:n], "language", "error", "lines_of_code", "comment_ratio", "found"])
 
-def analyze_files(files: DataFrame, key: list[str], content: str = "content", language: Column | None = None) -> DataFrame:
-    """Key columns, language, error, lines_of_code, comment_ratio, functions, classes."""
+    return rows
+
+
+def analyze_files(files: DataFrame, key: list[str], content: str = "content", language: Column | None = None, options: dict[str, dict] | None = None) -> DataFrame:
+    """Key columns, language, error, lines_of_code, comment_ratio, functions, classes. options: by language, such as ``{"kotlin": {"twice": True}}``."""
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
     lang = F.col("language") if language is None else language
-    raw = spread(files.select(*key, F.col(content).alias("_c"), lang.alias("_l"))).mapInArrow(_rows, f"{kinds}, language string, error string, lines_of_code int, comment_ratio double, found string")
+    raw = spread(files.select(*key, F.col(content).alias("_c"), lang.alias("_l"))).mapInArrow(_rows(options), f"{kinds}, language string, error string, lines_of_code int, comment_ratio double, found string")
     got = F.from_json("found", f"struct<functions:array<{FUNCTION}>,classes:array<{CLASS}>>")
     return raw.withColumn("_f", got).select(*key, "language", "error", "lines_of_code", "comment_ratio", F.col("_f.functions").alias("functions"), F.col("_f.classes").alias("classes"))
 

@@ -118,7 +118,25 @@ def _methods(code: str, start: int, end: int, inner: list[tuple[int, int]]) -> l
     return out
 
 
-def analyze(source: str) -> dict:
+def _lambdas(code: str, open_at: int, stop: int) -> list[tuple[str, int, int, int, int]]:
+    """(place as line:column, first line, last line, cyclomatic, cognitive) of each lambda of a method; one whose body is an expression costs 1."""
+    out = []
+    for m in re.finditer(r"->", code[open_at:stop]):
+        at = open_at + m.start()
+        head = re.search(r"(\([^()]*\)|\w+)\s*$", code[open_at:at])
+        if not head or re.search(r"\b(?:case\b[^;{}]*|default\s*)$", code[open_at:at]):
+            continue
+        start = open_at + head.start()
+        brace = re.compile(r"\s*\{").match(code, at + 2)
+        end = closing(code, brace.end() - 1) if brace else at + 2
+        c, g, _ = measures(code[brace.end() - 1 : end]) if brace else (1, 1, 0)
+        line = code.count("\n", 0, start) + 1
+        out.append((f"{line}:{start - code.rfind(chr(10), 0, start) - 1}", line, code.count("\n", 0, end) + 1, c, g))
+    return out
+
+
+def analyze(source: str, lambdas: bool = False) -> dict:
+    """``lambdas``: with a row for each lambda, named by its type and place."""
     code = blanked(source)
     if code.count("{") != code.count("}"):
         return {"error": "Syntax error: unmatched braces"}
@@ -135,6 +153,8 @@ def analyze(source: str) -> dict:
             flat = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", params))
             line = code.count("\n", 0, at) + 1
             rows.append({"name": f"{name}.{method}", "type": "constructor" if method == name else "method", "complexity": c, "cognitive": g, "line_start": line, "line_end": code.count("\n", 0, stop) + 1, "parameters": flat.count(",") + 1 if flat.strip() else 0, "depth": d})
+            for place, first, last, lc, lg in _lambdas(code, open_at, stop) if lambdas else []:
+                rows.append({"name": f"{name}.lambda@{place}", "type": "lambda", "complexity": lc, "cognitive": lg, "line_start": first, "line_end": last, "parameters": 0, "depth": 0})
         groups.append({"name": name, "parent_class": owner[0] if owner else None, "nesting_depth": depth, "line_start": code.count("\n", 0, start) + 1, "line_end": code.count("\n", 0, end) + 1, "method_count": len(cc), "total_complexity": sum(cc), "max_method_complexity": max(cc, default=0)})
     lines = source.split("\n")
     return {"lines": len(lines), "comment_ratio": comment_ratio(lines, "//"), "functions": sorted(rows, key=lambda f: f["line_start"]), "classes": groups}

@@ -13,11 +13,9 @@ from quarry.functions import text as T
 from quarry.functions import vectors as V
 from quarry.operators import changes, chunking, complexity, detection, profiling, search, stats
 from quarry.plans import adapt
+from quarry.registry import ORACLE, QUERIES, query  # noqa: F401
 from quarry.streaming import changes as streaming
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
 RAW = """raw AS (
   SELECT source AS project_name, 'src/' || lang || '/' || CASE doc_id % 6 WHEN 0 THEN 'test_' WHEN 1 THEN 'config_' WHEN 3 THEN 'readme_' ELSE '' END || 'doc_' || doc_id
     || CASE doc_id % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.java' WHEN 2 THEN '.md' WHEN 3 THEN '.sql' WHEN 4 THEN '.yaml' WHEN 5 THEN '.kt' ELSE '.ts' END AS path,
@@ -51,16 +49,6 @@ CHANGES = "ev AS (SELECT 'src/file_' || user_id || '.py' AS path, CASE event_typ
 FILTERED = "cf AS (SELECT c.*, f.language, f.file_category, f.is_test, f.is_config, f.is_documentation, f.is_resource FROM chunks c JOIN files f ON c.project_name = f.project_name AND c.file_path = f.path)"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 def _files(s, d):
     return adapt.code_files(s, d)
 
@@ -511,40 +499,6 @@ def chunk_content(s, d):
     return chunking.chunk_files(adapt.table(s, d, "documents"), ["doc_id"], "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), "start_line", "end_line")
 
 
-_SNIPPETS = {
-    "python": "def f{n}(a, b=1):\n    for x in a:\n        if x > {n} and b:\n            return [y for y in a if y]\n    return None\n\nclass C{n}:\n    def m(self):\n        with open('x') as f:\n            return f\n",
-    "java": "class C{n} {{\n  int f(int a, int b) {{\n    if (a > {n} && b > 0) {{ for (int i = 0; i < a; i++) {{ b += i; }} }}\n    return a > b ? a : b;\n  }}\n}}\n",
-    "kotlin": "class C{n} {{\n  fun f(a: Int, b: Int): Int {{\n    if (a > {n}) {{ return a }}\n    return when (b) {{ 1 -> 2\n      else -> 3 }}\n  }}\n}}\n",
-}
-
-
-def _sources(s, d):
-    """A source per document with a known result: the language by its id, the text numbered."""
-    n = F.col("doc_id").cast("string")
-    made = [F.replace(F.lit(t.replace("{{", "{").replace("}}", "}")), F.lit("{n}"), n) for t in _SNIPPETS.values()]
-    part = F.col("doc_id") % 3
-    code = F.when(part == 0, made[0]).when(part == 1, made[1]).otherwise(made[2])
-    lang = F.when(part == 0, "python").when(part == 1, "java").otherwise("kotlin")
-    return adapt.table(s, d, "documents").select("doc_id", lang.alias("language"), code.alias("content"))
-
-
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'kotlin' END AS language, CASE doc_id % 3 WHEN 0 THEN 'f' || doc_id WHEN 1 THEN 'C' || doc_id || '.f' ELSE 'f' END AS name, CASE doc_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 5 ELSE 4 END AS complexity, 2 AS parameters FROM documents UNION ALL SELECT doc_id, 'python', 'm', 2, 1 FROM documents WHERE doc_id % 3 = 0")
-def complexity_functions(s, d):
-    got = complexity.functions(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"])
-    return got.select("doc_id", "language", "name", "complexity", "parameters")
-
-
-@query()
-def complexity_summary(s, d):
-    got = complexity.recommendations(complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"]))
-    return got.select("doc_id", "language", "error", "total_complexity", "cognitive_complexity", F.round("maintainability_index", 6).alias("maintainability_index"), "complexity_grade", "function_count", "class_count", F.array_join("recommendations", "; ").alias("recommendations"))
-
-
-@query()
-def complexity_classes(s, d):
-    return complexity.classes(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"])
-
-
 @query()
 def complexity_of_documents(s, d):
     """Most documents aren't sources: they are reported as errors, none stops the run."""
@@ -553,24 +507,9 @@ def complexity_of_documents(s, d):
     return got.select("project_name", "path", "language", "error", "total_complexity", "complexity_grade")
 
 
-@query()
-def directory_analysis(s, d):
-    got = complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"])
-    return complexity.directory_analysis(got).withColumn("average_maintainability", F.round("average_maintainability", 4))
-
-
 # ---- measures of detection and tuning, documented extensions
 
 
-@query(f"""WITH {FILES}, r AS (SELECT language AS t, CASE WHEN doc_id % 4 = 0 THEN 'python' ELSE language END AS p, CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0.9 END AS c FROM files),
-tr AS (SELECT t, count(*) AS n, count(*) FILTER (t = p) AS hit, count(*) FILTER (c >= 0.8) AS high FROM r GROUP BY t), sd AS (SELECT p AS t, count(*) AS said FROM r GROUP BY p),
-e AS (SELECT tr.*, CASE WHEN coalesce(said, 0) = 0 THEN 0 ELSE hit / said END AS pr, hit / n AS re FROM tr LEFT JOIN sd ON tr.t = sd.t)
-SELECT round(sum(hit) * 100 / sum(n), 4) AS accuracy, round(sum(high) * 100 / sum(n), 4) AS high_confidence, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END), 6) AS f1 FROM e""")
-def detection_accuracy(s, d):
-    f = _files(s, d).select(F.col("language").alias("truth"), F.when(F.col("doc_id") % 4 == 0, "python").otherwise(F.col("language")).alias("said"), F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(0.9).alias("confidence"))
-    return stats.accuracy(f, "truth", "said", "confidence")
-
-
 @query(f"WITH {_METRIC}, x AS (SELECT *, {_MI} AS mi FROM m) SELECT l_orderkey, l_linenumber, CASE WHEN mi > 20 THEN 'good' WHEN mi >= 10 THEN 'moderate' ELSE 'poor' END AS mi_band, CASE WHEN cc <= 5 THEN 'simple' WHEN cc <= 10 THEN 'moderate' WHEN cc <= 20 THEN 'complex' WHEN cc <= 30 THEN 'very complex' ELSE 'extremely complex' END AS band, CASE WHEN cc <= 5 THEN 'A' WHEN cc <= 10 THEN 'B' WHEN cc <= 20 THEN 'C' WHEN cc <= 30 THEN 'D' WHEN cc <= 40 THEN 'E' ELSE 'F' END AS rank FROM x")
 def documented_bands(s, d):
     x = _metric_rows(s, d).withColumn("mi", M.maintainability(F.col("cc"), F.col("loc"), F.col("cr")))
@@ -612,20 +551,6 @@ def keyword_shares(s, d):
     return adapt.table(s, d, "documents").select("doc_id", *(F.round(detection.keyword_share(F.col("text"), g), 6).alias(g) for g in ("python", "java")))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'kotlin' END AS language, true AS is_valid, '' AS issues, '' AS warnings, 'simple' AS cyclomatic_band FROM documents")
-def complexity_validation(s, d):
-    rows = complexity.recommendations(complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"]))
-    rows = complexity.validation(complexity.with_context(rows, F.col("doc_id") % 2 == 0, F.lit(True)))
-    return rows.select("doc_id", "language", "is_valid", F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"), complexity.banded(F.col("total_complexity"), "cyclomatic").alias("cyclomatic_band"))
-
-
-@query()
-def find_complex_code(s, d):
-    hits = _sources(s, d).filter("doc_id % 2 = 0").select("doc_id", F.lit(1.0).alias("similarity"))
-    got = complexity.summary(complexity.analyze_files(_sources(s, d), ["doc_id"]), ["doc_id"])
-    return complexity.complex_hits(hits, got, ["doc_id"], threshold=5, nested=4).select("doc_id", "total_complexity", F.to_json("complex_functions").alias("complex_functions"))
-
-
 @query(f"WITH {CHANGES}, g AS (SELECT path, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY path ORDER BY ts, event_id) AS gap FROM ev) SELECT path, event_id, gap FROM g WHERE gap IS NOT NULL")
 def change_gaps(s, d):
     return streaming.gaps(adapt.change_events(s, d)).filter("gap IS NOT NULL").select("path", "event_id", "gap")
@@ -635,3 +560,6 @@ def change_gaps(s, d):
 def tool_json(s, d):
     rows = search.with_files(_chunks(s, d).filter("chunk_id < 50"), _files(s, d))
     return rows.select(F.to_json(F.struct(F.col("project_name").alias("project"), F.col("file_path").alias("file"), F.col("chunk_index").alias("line"))).alias("structured_content"))
+
+
+from quarry import queries_sources  # noqa: E402, F401
