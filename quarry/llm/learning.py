@@ -23,6 +23,13 @@ def labelled_sample(labels: DataFrame, label: str, *, doc_id: str = "doc_id", mo
     return rows.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, few: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, y, t): one text for each sampled id. Of rows that share an id the text with the smallest hash stands for it, found by partial
+    aggregation, so there are no more rows than the sample has ids, however often one repeats. A null text is empty."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(few), "id")
+    return rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("id", "y", "m.t")
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel
-from quarry.llm.learning import held_out, labelled_sample, sigmoid
+from quarry.llm.learning import held_out, labelled_sample, labelled_texts, sigmoid
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 2, 2
 SAMPLE, HIDDEN, EPOCHS = 10_000, 24, 60
@@ -189,9 +189,9 @@ def _seen(v: Vectors, extra: int):
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, vectors: Vectors, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Network:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold; what reaches the driver is that many short vectors."""
+    """Fit on at most ``sample`` labelled ids outside the held-out fold, one text each; what reaches the driver is that many short vectors."""
     few = labelled_sample(labels, label, doc_id=doc_id, most=sample)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(few), "id").select("id", "y", "t")
+    rows = labelled_texts(docs, few, doc_id=doc_id, text=text)
     kind = docs.schema[doc_id].dataType.simpleString()
     got = sorted(rows.mapInArrow(_seen(vectors, 2), f"id {kind}, y int, x array<double>").collect(), key=lambda r: (str(r["id"]), r["x"]))
     return fit_network(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]))

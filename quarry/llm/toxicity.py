@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel
-from quarry.llm.learning import held_out, labelled_sample, sigmoid
+from quarry.llm.learning import held_out, labelled_sample, labelled_texts, sigmoid
 
 BITS = 20
 SAMPLE = 10_000
@@ -114,9 +114,10 @@ def hash_order(name: str) -> int:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, ftrl: Ftrl = Ftrl(), bits: int = BITS) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold. Without such rows the model scores every text close to 0."""
+    """Fit on at most ``sample`` labelled ids outside the held-out fold, one text each; rows of an id that repeats count once, rows without an
+    id or label not at all, null texts as empty. Without such rows, or without documents, the model scores every text close to 0."""
     few = labelled_sample(labels, label, doc_id=doc_id, most=sample)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).join(F.broadcast(few), "id").select("id", "y", "t")
+    rows = labelled_texts(docs, few, doc_id=doc_id, text=text)
     kind = docs.schema[doc_id].dataType.simpleString()
     got = rows.mapInArrow(_extract(bits), f"id {kind}, y int, at array<int>").repartition(1).mapInArrow(_learn(ftrl, bits), "at array<long>, weight array<double>, bias double").first()
     return Model(np.array(got["at"], np.int64), np.array(got["weight"]), got["bias"]) if got else Model()
@@ -147,13 +148,21 @@ def score_toxicity(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", tex
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", threshold: float = 0.5, **options) -> DataFrame:
-    """One row per document: held_out, score (0 to 1), predicted (1 if score >= threshold)."""
+    """One row per document: held_out, score (0 to 1), predicted (1 if score >= threshold).
+
+    A null or empty text has the score of the bias. Repeated rows score alike; a null id stays null and is never held out. Other
+    columns are ignored, whatever their names. An empty table gives an empty result.
+    """
     found = score_toxicity(docs, train_toxicity(docs, labels, doc_id=doc_id, **options), doc_id=doc_id)
     return found.select(doc_id, held_out(doc_id).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, text: str = "text", threshold: float = 0.5, **options) -> DataFrame:
-    """The documents below the threshold, whole rows, decided where they stand: nothing is joined or shuffled."""
+    """The documents below the threshold, whole rows, decided where they stand: nothing is joined or shuffled.
+
+    Each row is judged by its own text: ids may be null or repeat, and null and empty texts stay (without labels every row does). An empty
+    table stays empty. Columns stay as they are.
+    """
     model = train_toxicity(docs, labels, text=text, **options)
     where = docs.columns.index(text)
 
