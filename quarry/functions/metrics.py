@@ -91,3 +91,12 @@ def comment_ratio(text: Column, single: str = "#", start: str = "/*", end: str =
         return F.struct((acc["n"] + comment.cast("int")).alias("n"), now.alias("open"))
 
     return F.when(text == "", 0.0).otherwise(F.aggregate(lines, zero, step, lambda acc: acc["n"]) / F.size(lines))
+
+
+def decision_points(conditions: Column, loops: Column, handlers: Column) -> Column:
+    return conditions + loops + handlers
+
+
+def cognitive_estimate(base: Column, depth: Column) -> Column:
+    """Where no tree is at hand: two more for each level beyond the first."""
+    return base + 2 * F.greatest(depth - 1, F.lit(0))

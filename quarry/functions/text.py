@@ -120,10 +120,9 @@ def truncate_bytes(term: Column, most: int) -> Column:
 
 
 def sanitize(text: Column, most: int = TERM_BYTES) -> Column:
-    """Words one space apart, each cut to ``most`` bytes."""
+    """Words one space apart, each cut to ``most`` bytes. Only a text of more bytes can hold a longer word; others need no list of words."""
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    long = F.exists(words, lambda w: F.octet_length(w) > most)
-    return F.when(long, F.array_join(F.transform(words, lambda w: truncate_bytes(w, most)), " ")).otherwise(F.array_join(words, " "))
+    return F.when(F.octet_length(text) > most, F.array_join(F.transform(words, lambda w: truncate_bytes(w, most)), " ")).otherwise(F.trim(F.regexp_replace(text, SPACE, " ")))
 
 
 def tokens(text: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,5 +63,19 @@ def valid_dims(a: Column, dims: int) -> Column:
     return F.coalesce(F.size(a) == dims, F.lit(False))
 
 
-def finite(x: float) -> bool:
-    return math.isfinite(x)
+def as_floats(a: Column) -> Column:
+    return a.cast("array<float>")
+
+
+def checked(a: Column, dims: int) -> Column:
+    """The vector; the query fails on one of another length."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected {dims} dimensions, not "), F.size(a).cast("string"))).cast("array<double>")
+    return F.when(F.size(a) == dims, a.cast("array<double>")).otherwise(wrong)
+
+
+def cosine_float(a: Column, b: Column, eps: float = 1e-12) -> Column:
+    """Cosine in single precision; 0 where a norm is below eps."""
+    one = lambda x: x.cast("float")
+    sums = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: one(one(p) * one(q))), F.lit(0.0).cast("float"), lambda s, v: one(s + v))
+    norms = one(F.sqrt(sums(a, a))) * one(F.sqrt(sums(b, b)))
+    return F.when(norms < eps, F.lit(0.0).cast("float")).otherwise(one(sums(a, b) / norms))

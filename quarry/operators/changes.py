@@ -74,6 +74,11 @@ def checked_vectors(rows: DataFrame, dims: int, vector: str = "vector", node: st
     return rows.select(node, "position", F.when(first, "success").otherwise("failed").alias("status"), F.when(~first, F.concat(F.lit("expected "), F.lit(str(dims)), F.lit(" dimensions"))).alias("error"))
 
 
+def upsert_vectors(table: DataFrame, rows: DataFrame, dims: int, key: str = "node_id", vector: str = "vector") -> DataFrame:
+    """Vectors by id: rows of the right length replace what is there or are added; others change nothing."""
+    return upsert(table, rows.filter(F.coalesce(F.size(vector) == dims, F.lit(False))), [key])
+
+
 def oversized(chunks: DataFrame, most: int = 30_000) -> DataFrame:
     return chunks.filter(F.length("content") > most).select("project_name", "file_path", "chunk_index", F.length("content").alias("chars")).orderBy(F.desc("chars"), "project_name", "file_path", "chunk_index")
 

@@ -183,3 +183,30 @@ def complex_hits(hits: DataFrame, summaries: DataFrame, key: list[str], threshol
     few = summaries.filter((F.col("total_complexity") > threshold) & F.col("error").isNull())
     big = F.transform(F.filter("functions", lambda f: f["complexity"] > nested), lambda f: F.struct(f["name"], f["complexity"]))
     return hits.join(few.select(*key, "total_complexity", big.alias("complex_functions")), key)
+
+
+def hierarchy(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of classes with their parent's name (empty at the top) and their name behind it."""
+    parent = F.coalesce("parent_class", F.lit(""))
+    return rows.withColumns({"parent": parent, "qualified": F.when(parent == "", F.col("name")).otherwise(F.concat_ws(".", parent, "name"))})
+
+
+def class_methods(class_rows: DataFrame, function_rows: DataFrame, key: list[str]) -> DataFrame:
+    """The functions of each class: those inside its lines, and inside no class further in."""
+    c = class_rows.select(*key, F.col("name").alias("class_name"), F.col("line_start").alias("from"), F.col("line_end").alias("upto"))
+    f = function_rows.select(*key, F.col("name").alias("method"), "complexity", "line_start")
+    near = f.join(c, key).filter(F.col("line_start").between(F.col("from"), F.col("upto")))
+    return near.groupBy(*key, "method", "line_start", "complexity").agg(F.max_by("class_name", "from").alias("class_name"))
+
+
+def elements(analyzed: DataFrame, key: list[str]) -> DataFrame:
+    """Classes and functions of files as one list: kind, name, lines."""
+    made = lambda column, kind: F.transform(column, lambda x: F.struct(kind(x).alias("kind"), x["name"].alias("name"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end")))
+    both = F.concat(made("classes", lambda _: F.lit("class")), made("functions", lambda x: x["type"]))
+    return analyzed.select(*key, F.explode(both).alias("e")).select(*key, "e.*")
+
+
+def rounded(columns: list[str]) -> Column:
+    """The columns as a struct for people: two places, comment ratios three."""
+    places = lambda c: 3 if c == "comment_ratio" else 2
+    return F.struct(*(F.round(c, places(c)).alias(c) for c in columns))

@@ -54,8 +54,20 @@ def _cognitive(x: ast.AST, nesting: int, chained: bool = False) -> int:
     return cognitive(ast.iter_child_nodes(x), nesting)
 
 
-def cognitive_estimate(base: int, depth: int) -> int:
-    return base + max(0, depth - 1) * 2
+def cognitive_plain(x: ast.AST, nesting: int = 0) -> int:
+    """Another count: an elif costs as an if of its level does, and operators inside operators count too."""
+    inner, cost, children = nesting, 0, None
+    if isinstance(x, (ast.If, ast.While, ast.For)):
+        chain = len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If)
+        cost = 1 + nesting + sum(cognitive_plain(c, nesting + 1) for c in x.body) + (not chain and any(isinstance(c, WEIGHTY) for c in x.orelse))
+        inner, children = nesting + (not chain), x.orelse
+    elif isinstance(x, ast.ExceptHandler):
+        cost, inner = 1 + nesting, nesting + 1
+    elif isinstance(x, ast.BoolOp):
+        cost = len(x.values) - 1
+    elif isinstance(x, ast.With):
+        cost, inner = 1, nesting + 1
+    return cost + sum(cognitive_plain(c, inner) for c in (ast.iter_child_nodes(x) if children is None else children))
 
 
 def indentation_depth(source: str, first: int, last: int) -> int:
@@ -65,12 +77,16 @@ def indentation_depth(source: str, first: int, last: int) -> int:
     return max((level(x) for x in lines), default=0) - (level(lines[0]) if lines else 0)
 
 
-def _function(f: ast.AST, depth: int, in_class: bool) -> dict:
+def _function(f: ast.AST, depth: int, in_class: bool, variant: str = "full") -> dict:
     inside = [*ast.walk(f)]
     is_async = isinstance(f, ast.AsyncFunctionDef)
     of = lambda *kinds: sum(isinstance(x, kinds) for x in inside)
+    if variant == "plain":
+        cc, cost = 1 if is_async else cyclomatic(f, "plain"), cognitive_plain(f)
+    else:
+        cc, cost = cyclomatic(f) + is_async, cognitive(f.body) + is_async
     return {
-        "name": f.name, "type": ("async_" if is_async else "") + ("method" if in_class else "function"), "complexity": cyclomatic(f) + is_async, "cognitive": cognitive(f.body) + is_async,
+        "name": f.name, "type": ("async_" if is_async else "") + ("method" if in_class else "function"), "complexity": cc, "cognitive": cost,
         "line_start": f.lineno, "line_end": f.end_lineno or f.lineno, "parameters": len(f.args.args), "depth": depth, "decorator_count": len(f.decorator_list),
         "exception_handlers_count": of(ast.ExceptHandler), "lambda_count": of(ast.Lambda, *COMPREHENSIONS), "uses_context_managers": of(ast.With) > 0, "is_generator": of(ast.Yield, ast.YieldFrom) > 0,
         "uses_walrus_operator": of(ast.NamedExpr) > 0, "uses_pattern_matching": of(ast.Match) > 0, "has_type_annotations": any(a.annotation for a in f.args.args) or f.returns is not None,
@@ -78,8 +94,9 @@ def _function(f: ast.AST, depth: int, in_class: bool) -> dict:
     }
 
 
-def analyze(source: str, last_of_name: bool = False) -> dict:
-    """``last_of_name``: of functions with one name only the last counts."""
+def analyze(source: str, last_of_name: bool = False, variant: str = "full", indentation: bool = False) -> dict:
+    """``last_of_name``: of functions with one name only the last counts. ``variant`` "plain": the measures without comprehensions, lambdas and
+    asynchronous functions. ``indentation``: depth is that of a function's deepest line instead of the functions around it."""
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -90,10 +107,10 @@ def analyze(source: str, last_of_name: bool = False) -> dict:
     def walk(node: ast.AST, depth: int, owners: tuple[str, ...], parent_is_class: bool) -> None:
         for x in ast.iter_child_nodes(node):
             if isinstance(x, FUNCTIONS):
-                found.append(_function(x, depth, bool(owners)))
+                found.append(_function(x, depth, bool(owners), variant))
                 walk(x, depth + 1, owners, False)
             elif isinstance(x, ast.ClassDef):
-                own = [_function(m, 0, True) for m in x.body if isinstance(m, FUNCTIONS)]
+                own = [_function(m, 0, True, variant) for m in x.body if isinstance(m, FUNCTIONS)]
                 cc = [m["complexity"] for m in own]
                 groups.append({"name": x.name, "parent_class": owners[-1] if owners else None, "nesting_depth": len(owners), "line_start": x.lineno, "line_end": x.end_lineno or x.lineno, "method_count": len(own), "total_complexity": sum(cc), "max_method_complexity": max(cc, default=0)})
                 walk(x, depth, (*owners, x.name), True)
@@ -104,6 +121,8 @@ def analyze(source: str, last_of_name: bool = False) -> dict:
         walk(tree, 0, (), False)
     except RecursionError:
         return {"error": "Syntax error: nested too deeply"}
+    if indentation:
+        found = [f | {"depth": indentation_depth(source, f["line_start"], f["line_end"])} for f in found]
     if last_of_name:
         found = [*{f["name"]: f for f in found}.values()]
     lines = source.split("\n")

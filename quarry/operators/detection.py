@@ -7,6 +7,7 @@ parser, and bracket and keyword evidence for JavaScript and Java.
 from __future__ import annotations
 
 import ast
+import functools
 import re
 import warnings
 from collections.abc import Callable, Iterator
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.parallel import spread
 from quarry.functions.text import suffix
+from quarry.operators.caching import Cache, key_of
 
 #: Languages by extension, and names that lexers and users give them.
 EXTENSIONS = {
@@ -73,7 +75,8 @@ def adjusted(content: Column, language: str, base: Column) -> Column:
 def by_votes(content: Column, lines: int = 50) -> Column:
     """The language whose pattern most of the first lines match, and a confidence that grows with their number."""
     head = F.slice(F.split(content, "\n"), 1, lines)
-    counts = F.array(*(F.struct(F.size(F.filter(head, lambda x, p=p: F.rlike(x, F.lit(p)))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("language")) for k, (name, p) in enumerate(VOTES.items())))
+    hits = lambda p: F.size(F.filter(head, lambda x: F.rlike(x, F.lit(p))))
+    counts = F.array(*(F.struct(hits(p).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("language")) for k, (name, p) in enumerate(VOTES.items())))
     best = F.array_max(counts)
     confidence = F.when(best["n"] == 0, 0.0).otherwise(F.least(0.6 + best["n"] / 50, F.lit(0.85)))
     return F.struct(F.when(best["n"] == 0, "unknown").otherwise(best["language"]).alias("language"), confidence.alias("confidence"), F.lit("votes").alias("method"))
@@ -121,11 +124,11 @@ def remove_parser(language: str) -> bool:
     return SYNTAX.pop(language, None) is not None
 
 
-def by_syntax(text: str | None) -> tuple[str, float]:
+def by_syntax(text: str | None, checks: dict[str, Callable[[str], float]] | None = None) -> tuple[str, float]:
     """Boosts apply above 0.5; the first of equal confidences stays."""
     best = NONE
     if text and text.strip():
-        for name, test in SYNTAX.items():
+        for name, test in (SYNTAX if checks is None else checks).items():
             c = test(text)
             if c > 0.5:
                 c = min(1.0, c + sum(gain for parts, gain in BOOSTS.get(name, []) if any(p in text for p in parts)))
@@ -134,27 +137,59 @@ def by_syntax(text: str | None) -> tuple[str, float]:
     return best
 
 
+@functools.cache
+def _lexers() -> list:
+    """The lexers that look at a text to tell whether it is theirs, in the library's order."""
+    from pygments.lexer import Lexer
+    from pygments.lexers import LEXERS, find_lexer_class
+
+    every = [find_lexer_class(row[1]) for row in LEXERS.values()]
+    return [c for c in every if any("analyse_text" in k.__dict__ for k in c.__mro__ if k not in (Lexer, object))]
+
+
+def _guessed(text: str) -> str | None:
+    """The name of the lexer that is surest of the text; a mode line in the text rules. The list of lexers is made once a worker."""
+    from pygments import lexers, modeline, util
+
+    if mode := modeline.get_filetype_from_buffer(text):
+        try:
+            return lexers.get_lexer_by_name(mode).name
+        except util.ClassNotFound:
+            pass
+    best, name = 0.0, None
+    for c in _lexers():
+        sure = c.analyse_text(text)
+        if sure > best:
+            best, name = sure, c.name
+        if sure == 1.0:
+            break
+    return name
+
+
 def by_lexer(text: str | None) -> tuple[str, float]:
     if not text or not text.strip():
         return NONE
     try:
-        from pygments import lexers
-    except ImportError:
+        name = _guessed(text)
+    except Exception:  # without the library, or where a lexer's analysis fails
         return NONE
-    try:
-        name = lexers.guess_lexer(text).name.lower().strip()
-    except Exception:  # a lexer's analysis may fail on any input
+    if not name:
         return NONE
+    name = name.lower().strip()
     scale = 0.8 if len(text) < 50 else 1.1 if len(text) > 500 else 1.0
     return NAMES.get(name, name), min(0.95, 0.8 * scale)
 
 
-def detect(text: str | None, path: str | None = None) -> tuple[str, float, str]:
+def parsers() -> list[str]:
+    return [*SYNTAX]
+
+
+def detect(text: str | None, path: str | None = None, checks: dict[str, Callable[[str], float]] | None = None) -> tuple[str, float, str]:
     """Syntax at 0.9 wins, then a lexer's guess at 0.85; otherwise the most confident, an extension overruling what is below 0.5."""
-    s = (*by_syntax(text), "tree_sitter")
+    s = (*by_syntax(text, checks), "syntax")
     if s[1] >= 0.9:
         return s
-    g = (*by_lexer(text), "pygments")
+    g = (*by_lexer(text), "lexer")
     if g[1] >= 0.85:
         return g
     tried = [s, g]
@@ -166,18 +201,29 @@ def detect(text: str | None, path: str | None = None) -> tuple[str, float, str]:
     return tried[2] if best[1] < 0.5 and len(tried) > 2 and tried[2][1] > 0 else best
 
 
+#: What a worker has detected lately.
+SEEN = Cache(most=10_000, seconds=3600)
+
+
+def remembered(text: str | None, path: str | None, checks: dict[str, Callable[[str], float]]) -> tuple[str, float, str]:
+    """``detect``, once for each content. Of a path only the extension counts, so copies share an entry wherever they are."""
+    name = (path or "").rsplit("/", 1)[-1]
+    at = (key_of(text or "", name.rsplit(".", 1)[1].lower() if "." in name[1:] else None), *checks.values())
+    found = SEEN.get(at)
+    if found is None:
+        found = detect(text, path, checks)
+        SEEN.put(at, found)
+    return found
+
+
 def detect_files(files: DataFrame, key: list[str], content: str = "content", path: str = "path") -> DataFrame:
     """Key, language, confidence, method."""
+    checks = dict(SYNTAX)  # those added on the driver go to the executors with the task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns - 2
-            seen: dict[tuple, tuple] = {}
-            out = []
-            for pair in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
-                if pair not in seen:
-                    seen[pair] = detect(*pair)
-                out.append(seen[pair])
+            out = [remembered(text, path, checks) for text, path in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.string())], names=[*batch.schema.names[:n], "language", "confidence", "method"])
 
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)

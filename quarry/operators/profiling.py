@@ -29,7 +29,7 @@ def increase_runs(snaps: DataFrame, group: str, order: str, value: str, label: s
 def bottlenecks(ops: DataFrame, threshold_ms: float = 100.0, cpu: float = 80.0, memory_mb: float = 100.0) -> DataFrame:
     """Operations that are slow or heavy, slowest first, with what is wrong."""
     issue = F.array_compact(F.array(F.when(F.col("duration_ms") > threshold_ms, "slow_execution"), F.when(F.col("cpu") > cpu, "high_cpu"), F.when(F.col("memory_mb") > memory_mb, "high_memory")))
-    return ops.withColumn("issues", F.array_join(issue, ",")).filter(F.col("issues") != "")
+    return ops.withColumn("issues", F.array_join(issue, ",")).filter(F.col("issues") != "").orderBy(F.desc("duration_ms"))
 
 
 def report(ops: DataFrame, group: str) -> DataFrame:
@@ -41,6 +41,23 @@ def batch_size(latency_ms: Column, items: Column) -> Column:
     return F.least(F.when(latency_ms < 10, 1000).when(latency_ms < 100, 100).otherwise(10), items)
 
 
+def performance_report(ops: DataFrame, group: str, slow_ms: float = 100.0, saved_ms: int = 50) -> DataFrame:
+    """Operations, their mean, how many are slow, what hits of a cache saved, and the batch size that the mean asks for."""
+    out = ops.groupBy(group).agg(F.count(F.lit(1)).alias("operations"), F.avg("duration_ms").alias("mean_ms"), F.count_if(F.col("duration_ms") > slow_ms).alias("slow"), (F.count_if("hit") * saved_ms).alias("saved_ms"))
+    return out.withColumn("batch_size", batch_size(F.col("mean_ms"), F.lit(1000)))
+
+
+#: Fixed values in both forms: bounds of file sizes and query rates, and the settings beyond them.
+def tuned_columns(avg_file_size: Column, total_files: Column, query_frequency: Column) -> Column:
+    """``tuned`` for a workload in each row."""
+    busy, some = query_frequency > 100, query_frequency > 10
+    by_rate = lambda high, low: F.when(busy, high).when(some, low)
+    return F.struct(
+        F.when(avg_file_size > 10_000, 10).when(avg_file_size > 1000, 50).otherwise(100).alias("batch_size"), by_rate(F.least(F.lit(10_000), total_files * 2), F.least(F.lit(1000), total_files)).alias("cache_size"),
+        by_rate(7200, 3600).alias("cache_ttl_seconds"), by_rate(100, 50).alias("max_connections"), by_rate(20, 10).alias("min_connections"),
+    )
+
+
 def tuned(avg_file_size: float = 1000, total_files: int = 100, query_frequency: float = 10) -> dict[str, int]:
     """Settings for a workload: cache entries and their lifetime follow how often it is queried, rows per Arrow batch the size of files."""
     busy, some = query_frequency > 100, query_frequency > 10

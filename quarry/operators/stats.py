@@ -44,6 +44,10 @@ def is_indexed(files: DataFrame, project: str) -> bool:
     return not files.filter(F.col("project_name") == project).limit(1).isEmpty()
 
 
+def indexed_projects(files: DataFrame) -> DataFrame:
+    return files.groupBy("project_name").agg((F.count("path") > 0).alias("indexed"))
+
+
 def index_health(monitored: DataFrame, indexed: DataFrame) -> DataFrame:
     """Per project: monitored files, those indexed, and the share in per cent."""
     rows = monitored.select(*KEY).join(indexed.select(*KEY).distinct().withColumn("hit", F.lit(1)), KEY, "left")

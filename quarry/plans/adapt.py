@@ -61,8 +61,11 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return current, indexed
 
 
-def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, change_type, ts, event_id from the event table: views and clicks are modifications."""
-    e = table(spark, sf_dir, "events")
+def as_changes(events: DataFrame) -> DataFrame:
+    """path, change_type, ts, event_id of rows of the event table: views and clicks are modifications."""
     kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("modified")
-    return e.select(F.concat(F.lit("src/file_"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), kind.alias("change_type"), "ts", "event_id")
+    return events.select(F.concat(F.lit("src/file_"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), kind.alias("change_type"), "ts", "event_id")
+
+
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_changes(table(spark, sf_dir, "events"))

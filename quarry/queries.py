@@ -278,11 +278,11 @@ def postfilter_topk(s, d):
     return _shown(search.semantic(_chunks(s, d), _files(s, d), _query_vector(s, d), 10, postfilter=True, language="python"))
 
 
-@query(f"WITH {RAW}, {CHUNKS}, qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 5), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {COS.replace('q.v', 'qs.v')} DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round({COS.replace('q.v', 'qs.v')}, 6) AS similarity FROM chunks c, qs) SELECT * FROM r WHERE rank <= 5")
+@query(f"WITH {RAW}, {CHUNKS}, qs AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {COS.replace('q.v', 'qs.v')} DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round({COS.replace('q.v', 'qs.v')}, 6) AS similarity FROM chunks c, qs) SELECT * FROM r WHERE rank <= 5")
 def multi_query_topk(s, d):
-    few = adapt.table(s, d, "embeddings").filter("vec_id < 5").select("vec_id", "embedding").collect()
-    out = search.semantic_many(_chunks(s, d), [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in few], 5)
-    return out.withColumn("similarity", F.round("similarity", 6))
+    """The stated query set: every row whose id is divisible by 100, against all rows."""
+    asked = adapt.table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.semantic_many(_chunks(s, d), asked, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, len(e) = 64 AS valid FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
@@ -457,11 +457,6 @@ def changes_per_day(s, d):
     return streaming.per_day(adapt.change_events(s, d))
 
 
-@query()
-def debounce_changes(s, d):
-    return streaming.debounced(adapt.change_events(s, d).select("path", "change_type", "ts"), delay=3600.0)
-
-
 # ---- language detection, chunks, complexity
 
 _EXT = "CASE doc_id % 7 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'markdown' WHEN 3 THEN 'sql' WHEN 4 THEN 'yaml' WHEN 5 THEN 'kotlin' ELSE 'typescript' END"
@@ -477,11 +472,6 @@ def language_extension_and_boosts(s, d):
     return t.select("doc_id", "r.language", "r.confidence", *(F.round(detection.adjusted(F.col("text"), g, F.lit(0.5)), 6).alias(g) for g in detection.BOOSTS))
 
 
-@query()
-def language_votes(s, d):
-    return adapt.table(s, d, "documents").select("doc_id", detection.by_votes(F.col("text")).alias("r")).select("doc_id", "r.language", "r.confidence")
-
-
 @query()
 def language_detect(s, d):
     return detection.detect_files(adapt.raw_files(s, d), ["doc_id"])
@@ -556,10 +546,10 @@ def change_gaps(s, d):
     return streaming.gaps(adapt.change_events(s, d)).filter("gap IS NOT NULL").select("path", "event_id", "gap")
 
 
-@query(f"WITH {FILES}, {CHUNKS}, {FILTERED} SELECT to_json({{'project': project_name, 'file': file_path, 'line': chunk_index}}) AS structured_content FROM cf WHERE chunk_id < 50")
+@query(f"WITH {FILES}, {CHUNKS}, {FILTERED} SELECT to_json({{'project': project_name, 'file': file_path, 'line': chunk_index}}) AS structured_content FROM cf")
 def tool_json(s, d):
-    rows = search.with_files(_chunks(s, d).filter("chunk_id < 50"), _files(s, d))
+    rows = search.with_files(_chunks(s, d), _files(s, d))
     return rows.select(F.to_json(F.struct(F.col("project_name").alias("project"), F.col("file_path").alias("file"), F.col("chunk_index").alias("line"))).alias("structured_content"))
 
 
-from quarry import queries_sources  # noqa: E402, F401
+from quarry import queries_service, queries_sources  # noqa: E402, F401

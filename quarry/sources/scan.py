@@ -75,8 +75,19 @@ def include_filter(path, patterns: list[str], ignored: list[str]):
     return match & ~F.exists(F.split(path, "/"), lambda x: F.rlike(x, F.lit("|".join(f"(?:{_java(p)})" for p in ignored))))
 
 
+def in_skipped_directory(path):
+    """Whether a path leads through a directory that is never entered."""
+    return F.exists(F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1), lambda x: x.isin(sorted(SKIPPED)))
+
+
 def _java(pattern: str) -> str:
-    rx = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+    """A shell pattern as a Java expression on a whole name, classes of characters too."""
+    rx = ""
+    for part in re.findall(r"\[!?\]?[^\]]*\]|.", pattern, re.DOTALL):
+        if len(part) > 1:
+            rx += "[" + ("^" if part[1] == "!" else "") + re.sub(r"([\\\[&^])", r"\\\1", part[2 if part[1] == "!" else 1 : -1]) + "]"
+        else:
+            rx += ".*" if part == "*" else "." if part == "?" else re.escape(part)
     return rf"(?s)\A{rx}\z"
 
 

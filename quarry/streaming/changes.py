@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarry.sources.shared import fresh
+
 EVENT = "path string, change_type string, ts timestamp"
 DELAY = 0.5
 #: Seconds after which a path's state is forgotten.
@@ -121,6 +123,27 @@ def sink(events: DataFrame, apply: Callable[[DataFrame, DataFrame], None], check
     return writer.start()
 
 
+def drained(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has to give now, as a table in the shared folder: taken in to its end, then stopped."""
+    spark = rows.sparkSession
+    out, state = fresh(spark, "drained"), fresh(spark, "drained-state")
+    writer = rows.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(out).awaitTermination()
+    else:
+        writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def monitoring(events: DataFrame, done, most: int = 5) -> DataFrame:
+    """Of a log of changes worked off up to the time ``done``: since when it runs, paths still to do, changes of its last day, and the last few."""
+    last = recent(events, most).agg(F.array_sort(F.collect_list(F.struct(F.col("ts"), "event_id", "change_type", "path")), lambda a, b: F.when((a["ts"] > b["ts"]) | (a["ts"] == b["ts"]) & (a["event_id"] > b["event_id"]), -1).when((a["ts"] == b["ts"]) & (a["event_id"] == b["event_id"]), 0).otherwise(1)).alias("recent_changes"))
+    at = F.lit(done)
+    whole = events.agg(F.min("ts").alias("since"), F.max("ts").alias("last_change"), F.countDistinct(F.when(F.col("ts") >= at, F.col("path"))).alias("pending_changes"))
+    day = events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("n", "day").alias("changes_today"))
+    return whole.crossJoin(day).crossJoin(last)  # a row each
+
+
 def status(spark: SparkSession, name: str) -> dict:
     q = next((q for q in spark.streams.active if q.name == name), None)
     return {"is_running": q is not None, "last_progress": q.lastProgress if q else None}
