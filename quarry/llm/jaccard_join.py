@@ -1,17 +1,19 @@
 """N-gram Jaccard join: MinHash banding, a shuffle on band hashes, pairs verified on full n-gram sets.
 
 1. Each text becomes its set of n-gram hashes, a 128-bit digest of that set, and ``bands`` band hashes of ``rows`` MinHash
-   values each. Bands and rows are the fewest hashes that reach ``recall`` for a pair right at the threshold.
+   values each. There are as few bands as reach ``recall`` for a pair right at the threshold.
 2. Texts with equal sets form a class, stood for by one row, so copies are counted and never paired.
-3. Class representatives are shuffled on band hashes; each bucket adds one edge per member to its smallest
-   member. The components of these edges are the candidate groups: a pair that shares a band is in one group.
-4. Groups are dealt over bundles of bounded size (documents and n-grams). A bundle, or a pair of bundles where one group
-   takes several, is verified in one task on full sets: all intersections are counted at once, by posting lists for rare n-grams
-   and a matrix product for frequent ones. Only link counts and spanning edges leave the task, at most one row
+3. Class representatives are shuffled on band hashes; only those in a bucket with another go on. Each bucket adds one edge per member to
+   its smallest member. The components of these edges are the candidate groups: a pair that shares a band is in one group.
+4. Groups are dealt over bundles of bounded size (documents and n-grams), and only their texts are shuffled. A bundle, or a pair of bundles
+   where one group takes several, is verified in one task on full sets: all intersections are counted at once, by posting lists for rare
+   n-grams and a matrix product for frequent ones. Only link counts and spanning edges leave the task, at most one row
    per document, so a group's pairs are never rows.
 
-Comparing n different texts that are all alike costs n * n / 2 additions inside such tasks, as any exact count of their links
-does; rows shuffled grow with (bundles of the group) times its texts.
+What would be one task's by its key (a bucket, group, label or set of n-grams that a large part of all rows share) is salted
+(``cluster.lookup``). Comparing n different texts that are all alike costs n * n / 2 additions inside such tasks, as any exact count of
+their links does; rows shuffled grow with (bundles of the group) times its texts. Texts that are alike only by a chain of chance
+meetings fall into one group too: at a corpus of billions such chains, not copies, are what more rows a band would keep short.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernel
-from quarry.llm.cluster import checkpoint, components
+from quarry.llm.cluster import HOT_KEYS, HOT_ROWS, checkpoint, components, let_through, lookup, prefix, with_least_ids
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9995
 BUNDLE_DOCS, BUNDLE_GRAMS = 1024, 1 << 20
@@ -38,7 +40,7 @@ DENSE = 24
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
-    """(bands, rows): a pair right at the threshold shares a band with probability recall at least."""
+    """(bands, rows): the fewest bands of so many rows by which a pair right at the threshold shares a band with probability recall at least."""
     if not 0 < threshold <= 1 or not 0 < recall < 1:
         raise ValueError("threshold and recall must lie between 0 and 1")
     if threshold == 1:
@@ -180,7 +182,7 @@ def _spanning(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _text_key(text: str) -> Column:
-    return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
 def _linked(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -190,19 +192,23 @@ def _linked(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, r
     the class, the smallest (without an id, id, key of the text); rep: its id.
     """
     bands, rows = banding(threshold, recall)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"), _text_key(text).alias("key"))
-    signed = checkpoint(source.mapInArrow(_sign(n, bands, rows), "id long, key string, n_grams long, digest binary, bands array<long>"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t"), _text_key(text).alias("key"))
+    signed = checkpoint(source.mapInArrow(_sign(n, bands, rows), f"id {kind}, key binary, n_grams long, digest binary, bands array<long>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n_copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
-    buckets = classes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    least = buckets.groupBy("band", "bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    edges = buckets.join(least, ["band", "bucket"]).select(F.col("node").alias("u"), "v").distinct()
+    # A band's hash holds the band's number. Few buckets hold two classes; only rows that may be in one of those are shuffled again.
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    least = checkpoint(buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    shared = let_through(buckets, prefix("bucket"), least.select(prefix("bucket").alias("p"))).filter("__maybe").drop("__maybe")
+    hot = least.filter(F.col("size") > HOT_ROWS).orderBy(F.desc("size")).limit(HOT_KEYS).select("bucket")
+    edges = lookup(shared, least, "bucket", ["node"], hot=hot).select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
     groups = components(edges).select(F.col("id").alias("node"), F.col("component").alias("grp"))
     members = checkpoint(classes.select("node", "first", "digest", "n_copies", "n_grams").join(groups, "node"))
     tiles = _tiles(members)
-    # One row of each text without an id is enough; those with an id are spread by it.
-    texts = source.filter("id IS NOT NULL").unionByName(source.filter("id IS NULL").dropDuplicates(["key"]))
+    # The texts of candidates alone are shuffled; of rows that repeat an id and a text, one for each task.
+    texts = let_through(source, prefix("key"), members.select(prefix("first.key").alias("p"))).filter("__maybe").groupBy("id", "key").agg(F.first("t").alias("t"))
     loaded = texts.join(tiles, texts["id"].eqNullSafe(F.col("first.id")) & (texts["key"] == F.col("first.key")))
     loaded = loaded.select("node", "t", "digest", "n_copies", "grp", "bundle", "tile", "blocks")
     loaded = loaded.mapInArrow(_load(n), "node long, grams binary, digest binary, n_copies long, grp long, bundle long, tile long, blocks long")
@@ -222,27 +228,19 @@ def jaccard_join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     class_id: the smallest id among documents with the same n-gram set. n_links: other documents with Jaccard similarity of
     at least threshold, copies included. component_id: the smallest id reachable by links. kept: doc_id = component_id.
     Words are lower-cased; a text of fewer than n words, but not none, is one n-gram. A null text, or one without words,
-    links with nothing: its class and component are its own id and it is kept. Rows that repeat an id are documents of
-    their own, and links count them; they share a class if their sets are equal. component_id is of ids, as in the SQL: components whose
-    classes share their smallest id have one number (``keep_one`` goes by the texts alone). A row without an id links and is counted as
-    any other; where no member of a class has an id, class is null, and so is component if no row reachable has one; such rows are
-    marked kept. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    links with nothing: its class and component are its own id and it is kept. Ids may be of any type that has an order. Rows that repeat
+    an id are documents of their own, and links count them; they share a class if their sets are equal. component_id is of ids, as in the
+    SQL: components whose classes share their smallest id have one number (``keep_one`` goes by the texts alone). A row without an id links
+    and is counted as any other; where no member of a class has an id, class is null, and so is component if no row reachable has one; such
+    rows are marked kept. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     rows, classes = _linked(docs, doc_id, text, n, threshold, recall)
     classes = checkpoint(classes.drop("first"))
-    low = checkpoint(classes.groupBy("component").agg(F.min("rep").alias("low")))
-    reps = classes.filter("rep IS NOT NULL").select("rep", "component").distinct()
-    shared = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("rep")
-    merged = components(reps.join(shared, "rep").join(low, "component").select(F.col("rep").alias("u"), F.col("low").alias("v")))
-    low = low.join(merged.select(F.col("id").alias("low"), F.col("component").alias("least")), "low", "left").select("component", F.coalesce("least", "low").alias("component_id"))
-    labels = classes.join(low, "component").select("digest", F.col("rep").alias("class_id"), "n_links", "component_id")
-    out = rows.join(labels, "digest", "left")
-    alone = F.col("digest").isNull()
-    component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("id").alias(doc_id), "n_grams", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    labels = with_least_ids(classes).select("digest", F.col("rep").alias("class_id"), "n_links", "component_id")
+    found = lookup(rows.filter("digest IS NOT NULL"), labels, "digest", ["id", "key"]).select("id", "n_grams", "class_id", "n_links", "component_id")
+    alone = rows.filter("digest IS NULL").select("id", "n_grams", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = found.unionByName(alone)
+    return out.select(F.col("id").alias(doc_id), "n_grams", "class_id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -258,7 +256,7 @@ def _tiles(members: DataFrame) -> DataFrame:
     total = small.select(F.greatest(F.ceil(F.col("d") * 4 / BUNDLE_DOCS), F.ceil(F.col("g") * 4 / BUNDLE_GRAMS), F.lit(1)).cast("long").alias("n")).first()["n"]
     tile = F.when(F.col("blocks") > 1, -F.col("grp") - 1).otherwise(F.pmod(F.xxhash64("grp"), F.lit(total or 1)))
     bundle = F.pmod(F.xxhash64("digest"), F.col("blocks"))
-    return members.join(size.select("grp", "blocks"), "grp").select("node", "first", "digest", "n_copies", "grp", "blocks", tile.alias("tile"), bundle.alias("bundle"))
+    return lookup(members, size.select("grp", "blocks"), "grp", ["node"]).select("node", "first", "digest", "n_copies", "grp", "blocks", tile.alias("tile"), bundle.alias("bundle"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -269,9 +267,14 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n:
     nothing and stay; without an id, each row of them does.
     """
     rows, classes = _linked(docs, doc_id, text, n, threshold, recall)
+    classes = checkpoint(classes)
     keep = classes.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.key")
     keep = keep.unionByName(rows.filter("digest IS NULL AND id IS NOT NULL").select("id", "key").distinct()).select(F.col("id").alias("__id"), F.col("key").alias("__kept"))
+    # A text that no other links or equals stays where it stands: only the others, and those without words, are looked up.
+    some = lookup(rows.filter("digest IS NOT NULL"), classes.filter("n_links > 0").select("digest"), "digest", ["id", "key"], "left_semi").select("key").union(rows.filter("digest IS NULL").select("key"))
+    keyed = let_through(docs.withColumn("__key", _text_key(text)), prefix("__key"), some.select(prefix("key").alias("p")))
     blank = F.col(doc_id).isNull() & ~F.coalesce(F.rlike(F.col(text).cast("string"), F.lit(WORD)), F.lit(False))
-    keyed = docs.filter(~blank).withColumn("__key", _text_key(text))
-    stay = keyed.join(keep, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
-    return stay.dropDuplicates([doc_id, "__key"]).drop("__key").unionByName(docs.filter(blank))
+    through = keyed.filter(~F.col("__maybe") | blank)
+    judged = keyed.filter(F.col("__maybe") & ~blank).dropDuplicates([doc_id, "__key"])
+    stay = judged.join(keep, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    return through.unionByName(stay).drop("__key", "__maybe").select(*docs.columns)

@@ -648,3 +648,12 @@ def test_license_passages_and_suppression(spark, sf):
         base = {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {' '.join(words(texts[i]))} "}
         assert labels == ",".join(sorted(base | suppressed(texts[i]))), texts[i]
     assert {t: set(got[k].split(",")) for k, t in rows} == {t: set(x.split(",")) for t, x in PASSAGES.items()}
+
+
+def test_jaccard_ids_of_other_types(spark):
+    base = long_text(200, 4)
+    rows = [("b", base), ("a", base + " tail"), ("c", "something else entirely"), (None, base)]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.jaccard_join(table).collect()), key=str)
+    assert got == [("a", 2, "a"), ("b", 2, "a"), ("c", 0, "c"), (None, 2, "a")]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(table).collect()) == ["a", "c"]
