@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, max_bytes: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def pieces(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) over slices of about max_bytes; one longer text is a slice of its own."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     offs = offsets(arr)
