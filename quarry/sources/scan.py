@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.errors import FileAccessError
 from quarry.functions import text as T
 
 #: What is ignored by default, and directories that are never entered.
@@ -95,7 +96,11 @@ def _walk(root: str, top: str, rules: list, deep: bool) -> Iterator[str]:
     todo = [top]
     while todo:
         here = todo.pop()
-        for e in sorted(os.scandir(os.path.join(root, here) if here else root), key=lambda e: e.name):
+        try:
+            entries = sorted(os.scandir(os.path.join(root, here) if here else root), key=lambda e: e.name)
+        except OSError:  # a folder that can't be listed is left out, and the rest goes on
+            continue
+        for e in entries:
             rel = f"{here}/{e.name}" if here else e.name
             if e.is_dir(follow_symlinks=False):
                 if deep and e.name not in SKIPPED and not gitignored(rules, rel, True):
@@ -126,6 +131,8 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, igno
     root = os.path.abspath(root)
     rules = ignore_rules(root) if use_gitignore else []
     want, avoid = patterns or ["*"], sorted({*IGNORED, *(ignored or [])})
+    if not os.path.isdir(root):
+        raise FileAccessError(f"not a folder: {root}", root=root)
     tops = [e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and e.name not in SKIPPED and not gitignored(rules, e.name, True)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,6 +145,20 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, igno
     return listed.mapInArrow(read, "path string, size long, last_modified timestamp_ntz").withColumn("language", T.language(F.col("path")))
 
 
+def files_at(paths: DataFrame, root: str, patterns: list[str] | None = None, ignored: list[str] | None = None) -> DataFrame:
+    """The rows of the files at given relative paths (a column ``path``), each looked up in the task that holds it; those that are gone or left
+    out have none."""
+    root = os.path.abspath(root)
+    rules, want, avoid = ignore_rules(root), patterns or ["*"], sorted({*IGNORED, *(ignored or [])})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [r for p in batch.column(0).to_pylist() if p and not p.startswith(("/", "..")) and included(p, want, avoid, rules) and (r := _row(root, p))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.string()), pa.array([r[1] for r in got], pa.int64()), pa.array([r[2] for r in got], pa.timestamp("us"))], names=["path", "size", "last_modified"])
+
+    return paths.select("path").mapInArrow(read, "path string, size long, last_modified timestamp_ntz").withColumn("language", T.language(F.col("path")))
+
+
 def file_info(spark: SparkSession, root: str, path: str, **options) -> DataFrame:
     """The row of one file; none if it is missing or left out."""
     root = os.path.abspath(root)

@@ -11,6 +11,7 @@ import json
 import re
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ class Store:
 
     def manifest(self, project: str) -> dict:
         """The current version: its number, settings, and by table the folder of each bucket."""
-        none = {"version": 0, "dimensions": None, "metric": "cosine", "tables": {t: {} for t in SCHEMAS}}
+        none = {"version": 0, "written": None, "dimensions": None, "metric": "cosine", "tables": {t: {} for t in SCHEMAS}}
         names = self._manifests(project)
         if not names:
             return none
@@ -71,7 +72,7 @@ class Store:
         name = f"{self.root}/{project}/manifest-{version:012d}"
         at, draft = path(name), path(f"{self.root}/{project}/draft-{uuid.uuid4().hex}")
         out = fs.create(draft)
-        out.write(bytearray(json.dumps(after | {"version": version}).encode()))
+        out.write(bytearray(json.dumps(after | {"version": version, "written": datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")}).encode()))
         out.close()
         if fs.exists(at) or not fs.rename(draft, at):
             fs.delete(draft, False)

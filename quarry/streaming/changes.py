@@ -33,6 +33,13 @@ def append_changes(status: DataFrame, folder: str, ts) -> None:
     status.filter("status <> 'unchanged'").select("path", kind.alias("change_type"), ts.alias("ts")).write.mode("append").parquet(folder)
 
 
+def not_logged(changes: DataFrame, logged: DataFrame) -> DataFrame:
+    """Of events (path, change_type, ts), those that the log doesn't hold: a file's with its time, or a deletion where the path's last event is none."""
+    same = changes.join(logged.select("path", "change_type", "ts"), ["path", "change_type", "ts"], "left_anti")
+    gone = latest(logged).filter("change_type = 'deleted'").select("path", F.lit("deleted").alias("change_type"))
+    return same.join(gone, ["path", "change_type"], "left_anti").select("path", "change_type", "ts")
+
+
 def debounce_rows(events: list[tuple[float, str]], delay: float = DELAY) -> list[tuple[float, str, float]]:
     """(event time, type, time of emission) for one path's events in order: one is passed at once if the last passed is ``delay`` back,
     otherwise it waits, and the latest waiting takes its place; the waiting one is passed when the delay is over."""
@@ -69,8 +76,16 @@ def debounced(events: DataFrame, delay: float = DELAY) -> DataFrame:
 
 def debounced_stream(events: DataFrame, delay: float = DELAY, processing: str = "ProcessingTimeTimeout") -> DataFrame:
     """Streaming form: state per path is the time of the last passed event and the one that waits; a timer passes it, or forgets the
-    path when nothing waits. What a path holds is one event, however many came."""
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if processing == "ProcessingTimeTimeout" else GroupStateTimeout.EventTimeTimeout
+    path when nothing waits. What a path holds is one event, however many came. With "EventTimeTimeout" the timer goes by the watermark of
+    ``ts``, which the events must have."""
+    by_event = processing == "EventTimeTimeout"
+    timeout = GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
+
+    def wait(state: GroupState, since: float, seconds: float) -> None:
+        if by_event:
+            state.setTimeoutTimestamp(max(int((since + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        else:
+            state.setTimeoutDuration(max(1, int(seconds * 1000)))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, held_t, held_k = state.get if state.exists else (None, None, None)
@@ -79,7 +94,7 @@ def debounced_stream(events: DataFrame, delay: float = DELAY, processing: str =
             if held_t is not None:
                 out.append((held_t, held_k, last + delay))
                 state.update((last + delay, None, None))
-                state.setTimeoutDuration(int(KEEP * 1000))
+                wait(state, last + delay, KEEP)
             else:
                 state.remove()
         else:
@@ -94,7 +109,7 @@ def debounced_stream(events: DataFrame, delay: float = DELAY, processing: str =
                 else:
                     held_t, held_k = t, kind
             state.update((last, held_t, held_k))
-            state.setTimeoutDuration(max(1, int((delay if held_t is not None else KEEP) * 1000)))
+            wait(state, last, delay if held_t is not None else KEEP)
         stamp = lambda x: pd.Timestamp(round(x * 1e6), unit="us")
         yield pd.DataFrame({"path": [key[0]] * len(out), "change_type": [o[1] for o in out], "ts": [stamp(o[0]) for o in out], "emitted": [stamp(o[2]) for o in out]})
 
@@ -146,7 +161,9 @@ def monitoring(events: DataFrame, done, most: int = 5) -> DataFrame:
 
 def status(spark: SparkSession, name: str) -> dict:
     q = next((q for q in spark.streams.active if q.name == name), None)
-    return {"is_running": q is not None, "last_progress": q.lastProgress if q else None}
+    progress = q.lastProgress if q else None
+    held = sum(int(x["numRowsTotal"]) for x in progress["stateOperators"]) if progress else 0
+    return {"is_running": q is not None, "waiting": bool(q and q.status["isTriggerActive"]), "paths_in_state": held, "last_progress": progress}
 
 
 def stop_all(spark: SparkSession) -> None:
