@@ -2,16 +2,19 @@
 
 On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2t). Equal vectors of a label form a class, stood for by
 its smallest id. Labels are dealt over cells around pivots (the top of a cover tree of a bounded sample, nested: the first
-k pivots serve a label that needs k cells), and cells over blocks of bounded size. Two cells whose covering radii keep them further apart
-than the threshold are never compared. Each remaining pair of blocks is one task: a cover tree of each with halving radii, and a dual
-traversal that drops node pairs further apart than their covering radii plus the threshold. What reaches leaves is compared in double
-precision. Only link counts and spanning edges leave a task. Pivots and radii decide what is compared where, never what is found.
+k pivots serve a label that needs k cells), and cells over blocks of bounded size. A vector is at home in the cell of its nearest pivot, and
+visits another cell only if the plane midway between the two pivots is within the threshold's distance of it: whatever is nearer to the
+other pivot lies beyond that plane. Visits go one way, from lower to higher cells, so a pair meets once. A task has a block at home and a
+bounded part of its visitors: a cover tree of each with halving radii, and a dual traversal that drops node pairs further apart than their
+covering radii plus the threshold. What reaches leaves is compared in double precision. Only link counts and spanning edges leave
+a task. Pivots and radii decide what is compared where, never what is found.
 
 Vectors of one label that no bound can tell apart cost the square of their number, as in any exact search; copies don't.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.cluster import checkpoint, components
+from quarry.llm.cluster import checkpoint, components, lookup, with_least_ids
 
 THRESHOLD = 0.98
-BLOCK = 1500
-PIVOTS, SAMPLE = 256, 2048
+#: Vectors at home in a task, and visitors for each of them.
+BLOCK, VISITORS = 1500, 4
+PIVOTS, SAMPLE = 1024, 4096
 LEAF = 8
 SLACK = 1e-9
 
@@ -67,53 +71,74 @@ class CoverTree:
         return len(self.center) - 1
 
 
-def dual(a: CoverTree, b: CoverTree, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of points (of a, of b): all pairs within reach are among them. Of one tree with itself, each pair may come twice."""
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
+def dual(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs of points (of a, of b), leaf pair by leaf pair: all pairs within reach are among them, each once.
+
+    Of one tree with itself, two nodes meet once, and so do two points; no point meets itself.
+    """
     todo = [(0, 0)]
     while todo:
         i, j = todo.pop()
+        alone = a is b and i == j
         ki, kj = a.kids[i], b.kids[j]
         if ki is None and kj is None:
-            p, q = np.meshgrid(a.points[i], b.points[j], indexing="ij")
-            left.append(p.ravel())
-            right.append(q.ravel())
+            p, q = np.triu_indices(len(a.points[i]), 1) if alone else (x.ravel() for x in np.indices((len(a.points[i]), len(b.points[j]))))
+            yield a.points[i][p], b.points[j][q]
             continue
-        if ki is not None and (kj is None or a.radius[i] >= b.radius[j]):
+        if alone:
+            us = vs = ki
+        elif ki is not None and (kj is None or a.radius[i] >= b.radius[j]):
             us, vs = ki, np.array([j]) if kj is None or a.radius[i] > 2 * b.radius[j] else kj
         else:
             us, vs = np.array([i]) if ki is None or b.radius[j] > 2 * a.radius[i] else ki, kj
         near = 2 - 2 * (a.x[a.center_at[us]] @ b.x[b.center_at[vs]].T)
         bound = a.radius_at[us][:, None] + b.radius_at[vs][None, :] + reach + SLACK
         p, q = np.nonzero(near <= bound * bound)
-        if a is b:
-            ok = us[p] <= vs[q]
-            p, q = p[ok], q[ok]
+        if alone:
+            p, q = p[p <= q], q[p <= q]
         todo += zip(us[p].tolist(), vs[q].tolist(), strict=True)
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def pairs_within(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exact pairs (row of x, row of y) with cosine >= threshold; with y None, pairs i < j inside x."""
+#: Candidate pairs that are compared at once.
+COMPARED = 1 << 17
+
+
+def close_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Exact pairs (row of x, row of y) with cosine >= threshold, each once, in parts of bounded size; with y None, pairs inside x."""
     unit = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in ([x] if y is None else [x, y])]
     a = CoverTree(unit[0])
     b = a if y is None else CoverTree(unit[1])
-    i, j = dual(a, b, float(np.sqrt(max(0.0, 2 - 2 * threshold))))
-    if y is None:
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        i, j = i[i != j], j[i != j]
-        key = np.unique(i * len(x) + j)
-        i, j, y = key // len(x), key % len(x), x
-    keep = np.zeros(len(i), bool)
-    for k in range(0, len(i), 1 << 17):
-        u, v = x[i[k : k + (1 << 17)]], y[j[k : k + (1 << 17)]]
-        keep[k : k + (1 << 17)] = (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1))) >= threshold
-    return i[keep], j[keep]
+    y = x if y is None else y
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def compare() -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.concatenate([p for p, _ in held]), np.concatenate([q for _, q in held])
+        keep = np.zeros(len(i), bool)
+        for k in range(0, len(i), COMPARED):
+            u, v = x[i[k : k + COMPARED]], y[j[k : k + COMPARED]]
+            keep[k : k + COMPARED] = (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1))) >= threshold
+        return i[keep], j[keep]
+
+    for p, q in dual(a, b, float(np.sqrt(max(0.0, 2 - 2 * threshold)))):
+        held.append((p, q))
+        size += len(p)
+        if size >= COMPARED:
+            yield compare()
+            held, size = [], 0
+    if size:
+        yield compare()
+
+
+def pairs_within(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``close_pairs``; with y None, as i < j."""
+    parts = [*close_pairs(x, y, threshold)]
+    i, j = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+    return (np.minimum(i, j), np.maximum(i, j)) if y is None else (i, j)
 
 
 def _spanning(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index linked to each, directly or not."""
     label = np.arange(m)
     while len(a):
         low = np.minimum(label[a], label[b])
@@ -129,26 +154,25 @@ def _spanning(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _tile(threshold: float):
     def tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """One pair of blocks, or all small labels of a bundle."""
+        """A block with some of its visitors, or all small labels of a bundle. Pairs inside a block are its first part's."""
         out = []
-        for _, part in rows.sort_values(["rep", "cid"]).groupby(["label", "dim"], sort=True):
+        for _, part in rows.sort_values("node").groupby(["label", "dim"], sort=True):
             x = np.array(part["embedding"].tolist(), np.float64)
-            n, rep = part["n_copies"].to_numpy(), part["rep"].to_numpy()
-            if part["i"].iloc[0] == part["j"].iloc[0]:
-                a, b = pairs_within(x, None, threshold) if len(x) > 1 else (np.zeros(0, np.int64),) * 2
-            else:
-                block = part["block"].to_numpy()
-                p, q = np.flatnonzero(block == part["i"].iloc[0]), np.flatnonzero(block == part["j"].iloc[0])
-                if not len(p) or not len(q):
-                    continue
-                a, b = pairs_within(x[p], x[q], threshold)
-                a, b = p[a], q[b]
-            links = np.zeros(len(x), np.int64)
-            np.add.at(links, a, n[b])
-            np.add.at(links, b, n[a])
+            n, node, home = part["n_copies"].to_numpy(), part["node"].to_numpy(), part["home"].to_numpy()
+            p, q = np.flatnonzero(home), np.flatnonzero(~home)
+            links, forest = np.zeros(len(x), np.int64), []
+            inside = ((p[i], p[j]) for i, j in close_pairs(x[p], None, threshold)) if part["part"].iloc[0] == 0 and len(p) > 1 else ()
+            across = ((p[i], q[j]) for i, j in close_pairs(x[p], x[q], threshold)) if len(p) and len(q) else ()
+            for a, b in itertools.chain(inside, across):
+                np.add.at(links, a, n[b])
+                np.add.at(links, b, n[a])
+                root = _spanning(len(x), a, b)
+                moved = np.flatnonzero(root != np.arange(len(x)))
+                forest.append((moved, root[moved]))
+            a, b = (np.concatenate([f[k] for f in forest]) if forest else np.zeros(0, np.int64) for k in (0, 1))
             live = links > 0
-            out.append(pd.DataFrame({"cid": part["cid"].to_numpy(), "u": rep, "v": rep[_spanning(len(x), a, b)], "links": links})[live])
-        return pd.concat(out) if out else pd.DataFrame({"cid": [], "u": [], "v": [], "links": []}).astype("int64")
+            out.append(pd.DataFrame({"node": node, "u": node, "v": node[_spanning(len(x), a, b)], "links": links})[live])
+        return pd.concat(out) if out else pd.DataFrame({"node": [], "u": [], "v": [], "links": []}).astype("int64")
 
     return tile
 
@@ -168,25 +192,30 @@ def choose_pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
     return x[chosen]
 
 
-def _cells(pivots: dict[int, np.ndarray]):
+def _cells(pivots: dict[int, np.ndarray], reach: float):
+    apart = {d: np.sqrt(np.maximum(2 - 2 * (t @ t.T), 0)) + 1e-6 if len(t) else t for d, t in pivots.items()}
+
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, k, dim = batch.column("embedding"), batch.column("k").to_numpy(), batch.column("dim").to_numpy()
-            cell, dist = np.zeros(len(k), np.int64), np.zeros(len(k))
-            for d in np.unique(dim):
-                at = np.flatnonzero(dim == d)
-                x = np.array(flat.take(pa.array(at)).to_pylist(), np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                table = pivots.get(int(d))
-                for want in np.unique(k[at]):
-                    mine = np.flatnonzero(k[at] == want)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                vectors, k, dim = batch.column("embedding"), batch.column("k").to_numpy(), batch.column("dim").to_numpy()
+                cell = np.zeros(len(k), np.int64)
+                visits: list[list[int]] = [[] for _ in k]
+                for d, want in np.unique(np.stack([dim, k]), axis=1).T.tolist():
+                    mine, table = np.flatnonzero((dim == d) & (k == want)), pivots.get(d)
                     if table is None or want <= 1:
-                        dist[at[mine]] = 2.0  # one cell: no bound
                         continue
-                    dot = x[mine] @ table[:want].T
-                    cell[at[mine]] = dot.argmax(1)
-                    dist[at[mine]] = np.sqrt(np.maximum(2 - 2 * dot.max(1), 0)) + 1e-7
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], names=[*batch.schema.names, "cell", "dist"])
+                    x = np.array(vectors.take(pa.array(mine)).to_pylist(), np.float64)
+                    dot = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ table[:want].T
+                    near = dot.argmax(1)
+                    cell[mine] = near
+                    beyond = dot.max(1)[:, None] - dot <= (reach * apart[d][:want, :want] + 1e-6)[near]
+                    beyond &= np.arange(dot.shape[1])[None, :] > near[:, None]
+                    row, col = np.nonzero(beyond)
+                    for r, c in zip(mine[row].tolist(), col.tolist(), strict=True):
+                        visits[r].append(c)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "label", "dim")), pa.array(cell), pa.array(visits, pa.list_(pa.int64()))], names=["node", "label", "dim", "cell", "visits"])
 
     return cells
 
@@ -195,64 +224,67 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str =
     """One row per vector: n_links, component_id (smallest id reachable by links, itself included), kept (id = component_id).
 
     Vectors are compared only where labels are equal and not null. One that is null, empty, all zeros, or holds a null or
-    non-finite component links with nothing; so does one without an id, whose component is null and which is kept. Vectors of different
-    dimensions don't link. Rows that repeat an id and vector are copies of each other. Other columns are ignored, whatever
+    non-finite component links with nothing; so does one without an id, whose component is null and which is kept. Ids may be of any type
+    that has an order. Vectors of different dimensions don't link. Rows that repeat an id and vector are copies of each other; other rows
+    that share an id are vectors of their own, and components that meet in an id have one number. Other columns are ignored, whatever
     their names. An empty table gives an empty result.
     """
     kind = vectors.schema[vector].dataType.simpleString()
     kind = kind if kind == "array<float>" else "array<double>"  # floats travel as floats; arithmetic is in doubles
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast(kind).alias("embedding"), F.col(label).alias("label"))
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(vector).cast(kind).alias("embedding"), F.col(label).cast("string").alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    cid = F.xxhash64("label", "embedding")
-    rows = rows.select("id", "label", F.when(good, cid).alias("cid"), F.when(good, F.col("embedding")).alias("embedding"))
-    classes = rows.filter("cid IS NOT NULL").groupBy("cid", "label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    # Of vectors whose 64-bit hashes are equal but which differ, each keeps a class of its own: the vector takes part in every join below.
-    classes = checkpoint(classes.select("cid", F.col("label").cast("string").alias("label"), "embedding", "rep", "n_copies", F.size("embedding").alias("dim")))
-    size = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    size = size.withColumn("k", F.least(F.ceil(F.col("n") / block), F.lit(PIVOTS)).cast("long"))
+    # Rows go to their class by two hashes, of 96 bits together.
+    same = F.when(good, F.struct(F.xxhash64("label", "embedding").alias("a"), F.hash("embedding", "label").alias("b")))
+    rows = checkpoint(rows.select("id", same.alias("same"), F.when(good, F.col("label")).alias("label"), F.when(good, F.col("embedding")).alias("embedding")))
+    classes = rows.filter("same IS NOT NULL").groupBy("same", "label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
+    classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("node"), "same", "label", "embedding", "rep", "n_copies", F.size("embedding").alias("dim")))
+    size = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    size = checkpoint(size.withColumn("k", F.least(F.ceil(F.col("n") / block), F.lit(PIVOTS)).cast("long")))
     pivots: dict[int, list] = {}
-    for r in classes.orderBy("cid").limit(SAMPLE).select("embedding").collect():
+    for r in classes.orderBy("same").limit(SAMPLE).select("embedding").collect():
         pivots.setdefault(len(r["embedding"]), []).append(r["embedding"])
     tables = {d: choose_pivots(np.array(v)) for d, v in pivots.items()}
-    dealt = classes.join(size, "label").select("cid", "label", "embedding", "rep", "n_copies", "dim", "n", "k")
-    dealt = checkpoint(dealt.mapInArrow(_cells(tables), f"cid long, label string, embedding {kind}, rep long, n_copies long, dim int, n long, k long, cell long, dist double"))
-    cells = dealt.groupBy("label", "cell", "dim", "k").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"), F.max("n").alias("label_n"))
-    cells = cells.withColumn("salts", F.ceil(F.col("n") / block).cast("long"))
-    tiles = _plan(cells, tables, threshold, block)
-    salted = dealt.join(cells.select("label", "cell", "dim", "salts"), ["label", "cell", "dim"]).withColumn("block", F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("rep", "cid"), F.col("salts")))
-    placed = salted.select("cid", "label", "embedding", "rep", "n_copies", "dim", "block").join(tiles, ["label", "dim", "block"])
-    found = placed.groupBy("tile", "i", "j").applyInPandas(_tile(threshold), "cid long, u long, v long, links long")
-    found = checkpoint(found)
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    joined = components(found.filter("u <> v").select("u", "v"))
-    labels = classes.select("cid", "rep", "n_copies").join(links, "cid", "left").join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    labels = labels.select("cid", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "cid").join(labels, "cid", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _plan(cells: DataFrame, tables: dict[int, np.ndarray], threshold: float, block: int) -> DataFrame:
-    """(label, dim, block, tile, i, j): the pairs of blocks to compare. Pairs of cells that their radii rule out are left out.
-
-    Labels that fit a block share tiles by hash. The table has a row for each two blocks that may hold links, none for vectors.
-    """
-    spark = cells.sparkSession
-    far = [(int(d), a, b, float(np.linalg.norm(t[a] - t[b]))) for d, t in tables.items() for a in range(len(t)) for b in range(a, len(t))]
-    apart = spark.createDataFrame(far or [(0, 0, 0, 0.0)], "dim int, a long, b long, apart double")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    small = F.col("label_n") <= block
-    bundles = cells.filter(small).agg(F.greatest(F.ceil(F.sum("n") * 2 / block), F.lit(1)).cast("long").alias("n")).first()["n"] or 1
-    one = cells.filter(small).select("label", "dim", (F.col("cell") * 1_000_000).alias("block"), F.pmod(F.xxhash64("label", "dim"), F.lit(bundles)).alias("tile"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
-    big = cells.filter(~small)
-    left = big.select("label", "dim", F.col("cell").alias("a"), F.col("radius").alias("ra"), F.col("salts").alias("sa"), "k")
-    right = big.select("label", "dim", F.col("cell").alias("b"), F.col("radius").alias("rb"), F.col("salts").alias("sb"))
-    pairs = left.join(right, ["label", "dim"]).filter("a <= b").join(apart, ["dim", "a", "b"], "left")
-    pairs = pairs.filter(F.coalesce(F.col("apart") <= F.col("ra") + F.col("rb") + reach + 1e-6, F.lit(True)))
-    range_of = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    pairs = pairs.select("label", "dim", "a", "b", F.explode(range_of("sa")).alias("x"), "sb").select("label", "dim", "a", "b", "x", F.explode(range_of("sb")).alias("y"))
-    pairs = pairs.filter("a < b OR x <= y").select("label", "dim", (F.col("a") * 1_000_000 + F.col("x")).alias("i"), (F.col("b") * 1_000_000 + F.col("y")).alias("j"))
-    tile = F.xxhash64("label", "dim", "i", "j")
-    both = pairs.select("label", "dim", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), tile.alias("tile"), "i", "j")
-    return one.unionByName(both)
+    keyed = classes.withColumn("group", F.concat_ws(",", "label", "dim"))
+    sized = lookup(keyed, size.select(F.concat_ws(",", "label", "dim").alias("group"), "n", "k"), "group", ["node"]).drop("group")
+    big = sized.filter(F.col("n") > block).mapInArrow(_cells(tables, reach), "node long, label string, dim int, cell long, visits array<long>")
+    tiles = _tiles(checkpoint(big), sized.filter(F.col("n") <= block).select("node", "label", "dim"), size, block)
+    placed = tiles.join(classes.select("node", "label", "dim", "embedding", "n_copies"), "node")
+    found = checkpoint(placed.groupBy("tile", "part").applyInPandas(_tile(threshold), "node long, u long, v long, links long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.filter("u <> v").select("u", "v")).select(F.col("id").alias("node"), "component")
+    labels = classes.select("node", "same", "rep", "n_copies").join(links, "node", "left").join(joined, "node", "left")
+    labels = labels.select("same", "rep", (F.col("n_copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    labels = with_least_ids(checkpoint(labels))
+    out = lookup(rows.filter("same IS NOT NULL").select("id", "same"), labels.select("same", "n_links", "component_id"), "same", ["id"]).select("id", "n_links", "component_id")
+    out = out.unionByName(rows.filter("same IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(vec_id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _tiles(cells: DataFrame, small: DataFrame, size: DataFrame, block: int) -> DataFrame:
+    """(node, tile, part, home): which tasks each vector goes to. No vector is in this table, and none of its rows is a pair.
+
+    cells: home cell and visited cells of the vectors of large labels. Small labels share tiles by hash.
+    """
+    few = F.greatest(F.ceil(F.coalesce(F.sum(F.when(F.col("n") <= block, F.col("n"))), F.lit(0)) * 2 / block), F.lit(1)).cast("long")
+    bundles = size.agg(few.alias("n")).first()["n"]
+    one = small.select("node", F.concat(F.lit("small "), F.pmod(F.xxhash64("label", "dim"), F.lit(bundles)).cast("string")).alias("tile"), F.lit(0).cast("long").alias("part"), F.lit(True).alias("home"))
+    name = F.concat_ws(",", "label", "dim", "cell")
+    homes = cells.select("node", name.alias("cell"))
+    visits = cells.select("node", "label", "dim", F.explode("visits").alias("cell")).select("node", name.alias("cell"))
+    n = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("m")), "cell", "left")
+    blocks = F.ceil(F.col("n") / block)
+    # A block's visitors are those of its cell, and the cell's own vectors of lower blocks.
+    parts = F.greatest(F.ceil((F.coalesce("m", F.lit(0)) + F.when(blocks > 1, F.col("n")).otherwise(0)) / (VISITORS * block)), F.lit(1))
+    table = checkpoint(n.select("cell", blocks.cast("long").alias("blocks"), parts.cast("long").alias("parts")))
+    range_of = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    zero, mine = F.lit(0).cast("long"), F.pmod(F.xxhash64("node"), F.col("blocks"))
+    part = F.pmod(F.hash("node", F.lit("part")).cast("long"), F.col("parts"))
+    at = lambda b: F.concat_ws(",", F.col("cell"), b)
+    at_home = lookup(homes, table, "cell", ["node"])
+    own = at_home.select("node", at(mine).alias("tile"), F.explode(range_of(zero, F.col("parts"))).alias("part"), F.lit(True).alias("home"))
+    inside = at_home.select("node", "cell", part.alias("part"), F.explode(range_of(mine + 1, F.col("blocks"))).alias("b"))
+    across = lookup(visits, table, "cell", ["node"]).select("node", "cell", part.alias("part"), F.explode(range_of(zero, F.col("blocks"))).alias("b"))
+    away = inside.unionByName(across).select("node", at(F.col("b")).alias("tile"), "part", F.lit(False).alias("home"))
+    return one.unionByName(own).unionByName(away)

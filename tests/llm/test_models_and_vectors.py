@@ -88,6 +88,32 @@ def test_cover_tree_bounds():
         assert np.linalg.norm(x[below(k)] - x[tree.center[k]], axis=1).max() <= tree.radius[k]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_cover_tree_pairs_against_brute_force(seed):
+    """Dense clusters, few dimensions, deep trees: every pair once, inside one set and between two."""
+    r = np.random.default_rng(seed)
+    d, n, t = int(r.choice([2, 3, 8, 16])), int(r.choice([30, 150, 400])), float(r.choice([0.98, 0.9, 0.999]))
+    c = r.normal(size=(int(r.choice([2, 8, 25])), d))
+    x = c[r.integers(len(c), size=n)] + r.normal(size=(n, d)) * r.choice([0.01, 0.05, 0.12], size=(n, 1))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    sure = {(i, j) for i, j in zip(*(k.tolist() for k in np.nonzero(np.triu(cos >= t + 1e-12, 1))), strict=True)}
+    maybe = {(i, j) for i, j in zip(*(k.tolist() for k in np.nonzero(np.triu(cos >= t - 1e-12, 1))), strict=True)}
+    got = [*zip(*(k.tolist() for k in cover_tree.pairs_within(x, None, t)), strict=True)]
+    assert sure <= set(got) <= maybe and len(got) == len(set(got))
+    h = n // 3
+    two = [(i, j + h) for i, j in zip(*(k.tolist() for k in cover_tree.pairs_within(x[:h], x[h:], t)), strict=True)]
+    assert {p for p in sure if p[0] < h <= p[1]} <= set(two) <= maybe and len(two) == len(set(two))
+
+
+@pytest.mark.parametrize("block", [1500, 60])
+def test_dense_vectors(spark, block):
+    rng = np.random.default_rng(9)
+    rows = [(k, (np.array([1.0, 0.3, 0.2]) + rng.normal(size=3) * rng.choice([0.02, 0.2, 0.6])).tolist(), k % 2) for k in range(260)]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=block).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_vectors(rows)
+
+
 def held_out_measures(df, label):
     y = queries.table(df.sparkSession, SF, "labels").select("doc_id", F.col(label).alias("y"))
     got = df.filter("held_out").join(y, "doc_id").collect()
@@ -166,3 +192,38 @@ def test_kernel_words():
     flat = [w for ws in want for w in ws]
     assert len(set(flat)) == len(set(h.tolist())) and len({*zip(flat, h.tolist(), strict=True)}) == len(set(flat))
     assert np.array_equal(kernel.words(pa.array(["pad", *texts]).slice(1))[0], h)
+
+
+def test_vector_ids_of_other_types(spark):
+    rows = [("b", [1.0, 0.0], "x"), ("a", [1.0, 0.01], "x"), ("c", [0.0, 1.0], "x"), ("a", [0.0, -1.0], "x"), (None, [1.0, 0.0], "x")]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == [("a", 0, "a", True), ("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True), (None, 0, None, True)]
+
+
+def test_training_by_plain_ftrl():
+    """Weights against the update rule written for one coordinate at a time."""
+    r = random.Random(3)
+    rows = [(np.array(sorted(r.sample(range(40), 6))), int(r.random() < 0.4)) for _ in range(60)]
+    ftrl = toxicity.Ftrl(alpha=0.5, l1=0.3, l2=0.1, epochs=3)
+    model = toxicity.train(rows, ftrl, bits=6)
+    z, n, bias_n = collections.Counter(), collections.Counter(), 1.0
+    ones = sum(y for _, y in rows)
+    bias = math.log((ones + 0.5) / (len(rows) - ones + 0.5))
+    weight = lambda k: 0.0 if abs(z[k]) <= ftrl.l1 else (math.copysign(ftrl.l1, z[k]) - z[k]) / ((ftrl.beta + math.sqrt(n[k])) / ftrl.alpha + ftrl.l2)
+    for _ in range(ftrl.epochs):
+        for at, y in rows:
+            w = {k: weight(k) for k in at.tolist()}
+            g = (1 / (1 + math.exp(-sum(w.values()) - bias)) - y) * (ftrl.positive if y else 1.0)
+            for k, v in w.items():
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / ftrl.alpha * v
+                n[k] += g * g
+            bias_n += g * g
+            bias -= ftrl.alpha * g / math.sqrt(bias_n)
+    assert dict(zip(model.at.tolist(), np.round(model.weight, 9), strict=True)) == {k: round(weight(k), 9) for k in sorted(z) if weight(k)} and abs(model.bias - bias) < 1e-9
+
+
+def test_repeated_labelled_ids(spark):
+    rows = spark.createDataFrame([(1, "bad words"), (1, "other words"), (1, "bad words"), (2, None), (None, "x")], "doc_id long, text string")
+    few = spark.createDataFrame([(1, 1), (2, 0)], "id long, y int")
+    got = learning.labelled_texts(rows.union(rows), few).collect()
+    assert sorted((r.id, r.y) for r in got) == [(1, 1), (2, 0)] and {r.t for r in got if r.id == 2} == {""}
