@@ -34,3 +34,14 @@ def closing(text: str, at: int, pair: str = "{}") -> int:
         if not depth:
             return at + k.end()
     return -1
+
+
+def nesting_depth(node, opens, children=lambda n: n.children) -> int:
+    """How deep a tree's nodes of some kinds lie in each other. opens: whether a node makes a level; children: a node's own nodes."""
+    deepest, todo = 0, [(node, 0)]
+    while todo:
+        at, depth = todo.pop()
+        depth += bool(opens(at))
+        deepest = max(deepest, depth)
+        todo += [(c, depth) for c in children(at)]
+    return deepest

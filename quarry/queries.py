@@ -420,7 +420,7 @@ def max_concurrency(s, d):
 @query(f"WITH {_OPS}, u AS (SELECT *, CASE WHEN value > lag(value) OVER (PARTITION BY grp ORDER BY s, event_id) THEN 1 ELSE 0 END AS up FROM op), i AS (SELECT *, sum(1 - up) OVER (PARTITION BY grp ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM u), r AS (SELECT grp, isl, sum(up) AS run FROM i GROUP BY ALL), g AS (SELECT grp, max(run) AS longest_rise FROM r GROUP BY grp), p AS (SELECT grp, count(*) AS n, max(value) AS peak, arg_min(event_id, (-value, s, event_id)) AS peak_label FROM op GROUP BY grp) SELECT g.grp, CAST(longest_rise AS BIGINT) AS longest_rise, n, peak, peak_label, longest_rise > 0.7 * n AS leak FROM g JOIN p ON g.grp = p.grp")
 def increase_runs(s, d):
     rows = _ops(s, d).withColumn("at", F.struct("s", "event_id"))
-    return profiling.increase_runs(rows, "grp", "at", "value", "event_id")
+    return profiling.increase_runs(rows, "grp", "at", "value", "event_id", time="s")
 
 
 @query("SELECT event_id, array_to_string(list_filter([CASE WHEN value > 100 THEN 'slow_execution' END, CASE WHEN user_id % 100 > 80 THEN 'high_cpu' END, CASE WHEN value * 2 > 100 THEN 'high_memory' END], lambda x: x IS NOT NULL), ',') AS issues FROM events WHERE value > 50 OR user_id % 100 > 80")

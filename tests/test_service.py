@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from quarry import cli
 from quarry.errors import FileAccessError, IndexingError, QuarryError, StoreError
-from quarry.operators import batches, caching, complexity, detection, search
-from quarry.operators.complexity import kotlin
+from quarry.operators import batches, caching, complexity, detection, profiling, search
+from quarry.operators.complexity import common, kotlin
 from quarry.plans import index
 from quarry.plans.api import Tools
 from quarry.plans.embedding import RemoteProvider, embed_query, truncate_tokens
@@ -279,3 +279,37 @@ def test_searches_for_many_queries(spark):
         got = search.semantic_many(table, queries, 4, block=block).collect()
         assert {(r.query_id, r.rank, r.chunk_id) for r in got} == want
     assert search.semantic_many(table, queries.limit(0), 4).count() == 0 and search.semantic_many(table.limit(0), queries, 4).count() == 0
+
+
+def test_windows_in_spans(spark):
+    r = random.Random(5)
+    rows = [(g, t, r.randrange(6), k) for g, n in (("a", 400), ("b", 3), ("c", 1)) for k, t in enumerate(sorted(r.choice((r.randrange(50), r.randrange(4000))) for _ in range(n)))]
+    rows += [("up", k * k, k, k) for k in range(300)] + [("same", 7, v, v) for v in (3, 1, 2)] + [("none", 1, None, 0), ("none", 2, 5, 1)]
+    table = spark.createDataFrame(rows, "grp string, t long, v int, k long").withColumn("at", F.struct("t", "k"))
+    got = {x.grp: x.longest_rise for x in profiling.increase_runs(table, "grp", "at", "v", "k", time="t").collect()}
+    plain = {x.grp: x.longest_rise for x in profiling.increase_runs(table, "grp", "at", "v", "k").collect()}
+    for g in got:
+        best = run = 0
+        mine = [v for x, _, v, _ in sorted((x for x in rows if x[0] == g), key=lambda x: (x[1], x[3]))]
+        for a, b in zip(mine, mine[1:]):
+            run = run + 1 if a is not None and b is not None and b > a else 0
+            best = max(best, run)
+        assert got[g] == plain[g] == best, g
+    tasks = spark.createDataFrame([(g, t, t + (v or 0)) for g, t, v, _ in rows], "grp string, start long, end long")
+    most = {x.grp: x.max_concurrent for x in profiling.max_concurrency(tasks, "grp").collect()}
+    for g, n in most.items():
+        moves = sorted(m for x, t, v, _ in rows if x == g for m in ((t, 1), (t + (v or 0), -1)))
+        now = best = 0
+        for k, (_, d) in enumerate(moves):
+            now += d
+            best = now if not k else max(best, now)
+        assert n == best, g
+
+
+def test_tree_depth():
+    class Node:
+        def __init__(self, kind, *children):
+            self.kind, self.children = kind, children
+
+    tree = Node("file", Node("if", Node("line"), Node("for", Node("if"))), Node("while"))
+    assert common.nesting_depth(tree, lambda n: n.kind in ("if", "for", "while")) == 3 and common.nesting_depth(Node("x"), lambda n: False) == 0
