@@ -128,8 +128,9 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", reach: int = REACH, mark: str = MARK) -> DataFrame:
     """The documents with every span found (base and linked) replaced by ``mark``; overlapping spans become one mark.
 
-    Columns stay, ``chars`` (if there) follows the new length. Rows without findings, null texts too, stay as they are. Texts that a cheap
-    test clears, nearly all, aren't shuffled: only the others are joined with what was found in them.
+    Columns stay, ``chars`` (if there) follows the new length. Rows without findings, null texts too, stay as they are. Each row is judged by
+    its own text: ids may be null or repeat, and rows that repeat have one result each. An empty table stays empty. Texts that a cheap test
+    clears, nearly all, aren't shuffled: only the others are joined with what was found in them.
     """
     maybe = F.coalesce(_suspect(F.col(text)), F.lit(False))
     return docs.filter(~maybe).unionByName(_redacted(docs.filter(maybe), doc_id, text, chars, reach, mark))

@@ -1,13 +1,13 @@
 """The pipeline stage by stage against brute force, and its odd rows."""
 
 import collections
+import hashlib
 
-import numpy as np
 import pyarrow as pa
-from test_text_operators import SECRETS, brute_secrets, check_packing, contamination, jaccard, long_text
+from test_text_operators import SECRETS, brute_linked, brute_secrets, check_packing, contamination, grams, jaccard, long_text
 
 import corpus_pipeline
-from quarry.llm import cluster, packing, queries, toxicity
+from quarry.llm import cluster, decontamination, packing, queries, toxicity
 
 
 def test_stages_against_brute_force(spark, sf, tmp_path):
@@ -69,13 +69,58 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     assert key(whole) == key(last)
 
 
-def test_stages_on_odd_rows(spark, sf):
-    kinds = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = spark.createDataFrame([(None, "no id", "en", "s", 5), (1, None, None, None, None), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "a" * 100_000, "en", "s", 100_000)], kinds)
-    for name, stage in corpus_pipeline.STAGES:
-        for table in (rows, rows.limit(0)):
-            out = stage(spark, table, sf)
-            n = out.count()
-            assert n >= table.count() - (name == "near_duplicates"), name
-            assert name == "pack" or out.columns == rows.columns
-    assert np.all([r.text is None for r in corpus_pipeline.redact_secrets(spark, rows, sf).filter("doc_id = 1").collect()])
+KINDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def multiset(rows):
+    return collections.Counter((r[0], r[1]) for r in rows)
+
+
+def kept_rows(rows):
+    """One row of each group of linked texts, by comparing every two texts: rows with an id first, then the smallest id, then the smallest key."""
+    sets = [grams(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * len(sets[a] | sets[b]):
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for (i, t), s, g in zip(rows, sets, group, strict=True):
+        if s:
+            best[g] = min(best.get(g, (True, 1 << 60, b"~" * 40, "")), (i is None, i or 0, hashlib.md5(t.encode()).digest(), t))
+    out = collections.Counter((None if none else i, t) for none, i, _, t in best.values())
+    out += collections.Counter({(i, t): 1 for (i, t), s in zip(rows, sets, strict=True) if not s and i is not None})
+    return out + collections.Counter((i, t) for (i, t), s in zip(rows, sets, strict=True) if not s and i is None)
+
+
+def test_stages_on_odd_rows(spark, sf, monkeypatch):
+    item = [r.text for r in queries.table(spark, sf, "benchmark").collect() if len((r.text or "").split()) >= 13]
+    a, b, c = (long_text(120, k) for k in (1, 2, 3))
+    rows = [(None, "no id"), (1, None), (2, ""), (2, ""), (3, "a" * 100_000), (4, a), (4, b), (5, a), (5, c), (5, c), (6, a + " tail"), (None, c + " end"), (None, long_text(90, 7)), (None, long_text(90, 7)), (None, ""), (None, "")]
+    rows += [(7, item[0]), (7, "clean under the same id"), (None, item[-1]), (8, long_text(900, 8) + " " + " ".join(item[0].split()[:13])), (9, SECRETS[0]), (9, SECRETS[6]), (None, SECRETS[3])]
+    table = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], KINDS)
+    stages = dict(corpus_pipeline.STAGES)
+    model = toxicity.train_toxicity(table, queries.table(spark, sf, "labels"))
+    scores = toxicity.score(model, pa.array([t or "" for _, t in rows]))
+    assert multiset(stages["toxicity"](spark, table, sf).collect()) == multiset(r for r, s in zip(rows, scores, strict=True) if s < 0.5)
+    assert multiset(stages["near_duplicates"](spark, table, sf).collect()) == kept_rows(rows)
+    bench = [(r.item_id, r.text) for r in queries.table(spark, sf, "benchmark").collect()]
+    clean = multiset(r for r in rows if not contamination([r], bench)[0][5])
+    assert (7, item[0]) not in clean and (7, "clean under the same id") in clean
+    for size in (decontamination.BLOCK_BYTES, 4000):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        assert multiset(stages["decontaminate"](spark, table, sf).collect()) == clean
+    redacted = stages["secrets"](spark, table, sf).collect()
+    assert collections.Counter(r.doc_id for r in redacted) == collections.Counter(i for i, _ in rows)
+    untouched = multiset(r for r in rows if not brute_secrets(r[1] or "") and not brute_linked(r[1] or ""))
+    assert untouched <= multiset(redacted) and not any(brute_secrets(r.text or "") for r in redacted)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in redacted)
+    check_packing(stages["pack"](spark, table.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), sf).collect(), [(r.doc_id, r.text) for r in table.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()], packing.SIZE)
+    packed = stages["pack"](spark, table, sf).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.piece == 0) == collections.Counter(i for i, _ in rows)
+    for name, stage in stages.items():
+        out = stage(spark, table.limit(0), sf)
+        assert out.count() == 0 and (name == "pack" or out.columns == table.columns)
+        assert name == "pack" or stage(spark, table, sf).columns == table.columns
