@@ -37,8 +37,12 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, by: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """Rows joined with a table that has one row a key. Rows of hot keys are dealt by a hash of ``by`` over SALTS parts, each with a copy of the
-    key's row; which keys are hot is a table of HOT_KEYS rows at most."""
-    few = F.broadcast((hot_keys(rows, key) if hot is None else hot).select(F.col(key).alias("__hot")))
+    key's row; which keys are hot is a list of HOT_KEYS at most. It is asked for at once, so rows (or ``hot``) should be cheap to read."""
+    names = (hot_keys(rows, key) if hot is None else hot).select(F.col(key).alias("__hot"))
+    found = names.collect()
+    if not found:
+        return rows.join(table, key, how)
+    few = F.broadcast(rows.sparkSession.createDataFrame(found, names.schema))
     left = rows.join(few, F.col(key) == F.col("__hot"), "left")
     left = left.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))).drop("__hot")
     right = table.join(few, F.col(key) == F.col("__hot"), "left")
@@ -71,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = checkpoint(edges.union(edges.select("v", "u")).distinct())
     if both.isEmpty():
         return spark.createDataFrame([], "id long, component long")
-    hubs = spark.createDataFrame([tuple(r) for r in hot_keys(both, "v").collect()], "v long")  # HOT_KEYS rows at most
+    hubs = spark.createDataFrame(hot_keys(both, "v").collect(), "v long")  # HOT_KEYS rows at most
     label = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l")))
     while True:
         near = lookup(both, label.select(F.col("u").alias("v"), "l"), "v", ["u"], hot=hubs).groupBy("u").agg(F.min("l").alias("m"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm import kernel
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 #: Words by which a shard's suffixes are ordered; longer windows are compared on from there.
 DEPTH = 16

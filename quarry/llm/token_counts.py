@@ -33,7 +33,7 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 class Counter(dict):
     """Token counts by pre-token, remembered for ``most`` of them at once."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 200_000):
         import public_tokenizers
         import regex
         import tiktoken
