@@ -23,7 +23,7 @@ _MAX_WORD = 48
 class WordBpe:
     """Encoder with a cache of at most ``most`` words."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

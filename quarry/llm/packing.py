@@ -119,7 +119,7 @@ def _pieces(path: str, size: int, end: int, with_ids: bool):
         encode = encoder(path).encode
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for at, texts in kernel.pieces(batch.column(1)):
+            for at, texts in kernel.pieces(batch.column(1), 2 << 20):
                 rows, piece, length, crc, ids = [], [], [], [], []
                 for k, found in enumerate(encode(texts.to_pylist())):
                     found += last
