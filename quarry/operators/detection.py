@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.parallel import spread
 from quarry.functions.text import suffix
+from quarry.functions.vectors import normalize
 from quarry.operators.caching import Cache, key_of
 
 #: Languages by extension, and names that lexers and users give them.
@@ -87,6 +88,12 @@ def keyword_share(content: Column, language: str) -> Column:
     return F.when(F.size(words) == 0, 0.0).otherwise(F.size(F.filter(words, lambda w: w.isin(KEYWORDS[language]))) / F.size(words))
 
 
+def enriched(embedding: Column, content: Column, weight: float = 0.3) -> Column:
+    """A vector with the shares of each language's keywords behind it, of length 1."""
+    shares = F.array(*(keyword_share(content, g) * weight for g in KEYWORDS))
+    return normalize(F.concat(F.transform(embedding, lambda x: x.cast("double")), shares))
+
+
 _PY_SYNTAX = re.compile(r"^\s*(?:def|class|import|from|if|for|while|with|try|return|async)\b|[=()\[\]]", re.MULTILINE)
 _JS = re.compile(r"\b(?:function|const|let|var|typeof|undefined|console|require|export|async|await)\b|=>|===")
 _JAVA = re.compile(r"\b(?:public|private|protected|package|implements|extends|void|throws|final|static)\b|@Override|System\.out")
@@ -98,15 +105,38 @@ def _python(text: str) -> float:
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return 0.0
+        return _python_in_parts(text)
     return 0.95 if tree.body and _PY_SYNTAX.search(text) else 0.0
 
 
+_TOP = re.compile(r"^(?=\S)(?!(?:else|elif|except|finally)\b)", re.MULTILINE)
+_PY_WORDS = re.compile(r"^\s*(?:def|class|import|from|async def|@\w)\b", re.MULTILINE)
+
+
+def _python_in_parts(text: str) -> float:
+    """Of a source that doesn't parse, the share of its statements at the margin that do; two of them must look like Python."""
+    if len(_PY_WORDS.findall(text)) < 2:
+        return 0.0
+    parts = [p for p in _TOP.split(text) if p.strip()]
+    good = 0
+    for p in parts:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                good += bool(ast.parse(p).body)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            pass
+    return good / len(parts) * 0.95 if parts else 0.0
+
+
 def _braced(evidence: re.Pattern, other: re.Pattern):
     def test(text: str) -> float:
         n, m = len(evidence.findall(text)), len(other.findall(text))
-        if not n or m >= n or any(text.count(a) != text.count(b) for a, b in ("{}", "()", "[]")):
+        if not n or m >= n:
             return 0.0
+        brackets, apart = sum(map(text.count, "{}()[]")), sum(abs(text.count(a) - text.count(b)) for a, b in ("{}", "()", "[]"))
+        if apart:  # the share of brackets that have a partner, where enough else speaks for the language
+            return 0.95 * (1 - apart / brackets) if n >= 4 and n > 2 * m else 0.0
         return 0.95 if ("{" in text or ";" in text or "=>" in text) and n >= 2 else 0.6
 
     return test

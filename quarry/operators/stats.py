@@ -64,6 +64,16 @@ def latency_stats(rows: DataFrame, group: str, value: str, slow: float | None =
     return rows.groupBy(group).agg(*aggs)
 
 
+def test_coverage(files: DataFrame) -> DataFrame:
+    """Per project: source files, those with a test file of their name (``test_x`` or ``x_test`` for ``x``), and the share in per cent."""
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    of = F.when(stem.startswith("test_"), F.substring(stem, F.lit(6), F.length(stem))).when(stem.endswith("_test"), F.substring(stem, F.lit(1), F.length(stem) - 5))
+    rows = files.select("project_name", stem.alias("stem"), of.alias("of"))
+    tested = rows.filter("of IS NOT NULL").select("project_name", F.col("of").alias("stem")).distinct().withColumn("tested", F.lit(1))
+    per = rows.filter("of IS NULL").join(tested, ["project_name", "stem"], "left").groupBy("project_name").agg(F.count(F.lit(1)).alias("files"), F.count("tested").alias("tested"))
+    return per.withColumn("coverage", F.round(F.col("tested") * 100.0 / F.col("files"), 2))
+
+
 def hit_rate(rows: DataFrame, group: list[str], hit: str) -> DataFrame:
     out = rows.groupBy(*group).agg(F.count_if(hit).alias("hits"), F.count_if(~F.col(hit)).alias("misses"))
     total = F.col("hits") + F.col("misses")

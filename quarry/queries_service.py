@@ -389,3 +389,22 @@ def find_complex_code(s, d):
     got = complexity.complex_hits(hits, complexity.summary(complexity.analyze_files(few, ["doc_id"]), ["doc_id"]), ["doc_id"])
     named = F.array_join(F.transform("complex_functions", lambda f: F.concat_ws(":", f["name"], f["complexity"])), ",")
     return got.select("chunk_id", "doc_id", "total_complexity", named.alias("complex_functions"))
+
+
+def _share_sql(language: str) -> str:
+    words = "regexp_extract_all(text, '[A-Za-z_]+')"
+    return f"0.3::DOUBLE * len(list_filter({words}, lambda w: w IN ({', '.join(repr(w) for w in detection.KEYWORDS[language])}))) / greatest(len({words}), 1)"
+
+
+@query(f"WITH w AS (SELECT vec_id, list_concat(CAST(embedding AS DOUBLE[]), [{', '.join(_share_sql(g) for g in detection.KEYWORDS)}]) AS v FROM embeddings JOIN documents ON doc_id = vec_id // 2) SELECT vec_id, len(v) AS dims, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[65] / sqrt(list_dot_product(v, v)), 6) AS python, round(v[68] / sqrt(list_dot_product(v, v)), 6) AS kotlin FROM w")
+def language_enriched_embedding(s, d):
+    e = adapt.table(s, d, "embeddings").withColumn("doc_id", F.expr("vec_id DIV 2")).join(adapt.table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    v = e.select("vec_id", detection.enriched(F.col("embedding"), F.col("text")).alias("v"))
+    return v.select("vec_id", F.size("v").cast("long").alias("dims"), F.round(F.col("v")[0], 6).alias("first"), F.round(F.col("v")[64], 6).alias("python"), F.round(F.col("v")[67], 6).alias("kotlin"))
+
+
+@query("SELECT source AS project_name, count(*) AS files, count(*) FILTER (doc_id % 3 = 0 OR doc_id % 5 = 0) AS tested, round(count(*) FILTER (doc_id % 3 = 0 OR doc_id % 5 = 0) * 100.0 / count(*), 2) AS coverage FROM documents GROUP BY source")
+def test_coverage(s, d):
+    n = F.col("doc_id").cast("string")
+    paths = F.array_compact(F.array(F.concat(F.lit("pkg/f"), n, F.lit(".py")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("tests/test_f"), n, F.lit(".py"))), F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("pkg/f"), n, F.lit("_test.py")))))
+    return stats.test_coverage(adapt.table(s, d, "documents").select(F.col("source").alias("project_name"), F.explode(paths).alias("path")))

@@ -63,7 +63,11 @@ OUT = "path string, change_type string, ts timestamp, emitted timestamp"
 
 
 def debounced(events: DataFrame, delay: float = DELAY) -> DataFrame:
-    """Batch form: one path's events are one group."""
+    """Batch form. A pause of twice the delay leaves nothing behind that a later event could meet, so what lies between such pauses is a group."""
+    order = Window.partitionBy("path").orderBy("ts", "change_type")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    pause = F.coalesce(at - F.lag(at).over(order) >= int(2 * delay * 1e6) + 1, F.lit(False))
+    bursts = events.select("path", "change_type", "ts", pause.cast("long").alias("pause")).withColumn("burst", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("pause")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["ts", "change_type"], kind="stable")
@@ -71,7 +75,7 @@ def debounced(events: DataFrame, delay: float = DELAY) -> DataFrame:
         stamp = lambda x: pd.Timestamp(round(x * 1e6), unit="us")
         return pd.DataFrame({"path": [key[0]] * len(got), "change_type": [g[1] for g in got], "ts": [stamp(g[0]) for g in got], "emitted": [stamp(g[2]) for g in got]})
 
-    return events.groupBy("path").applyInPandas(run, OUT)
+    return bursts.groupBy("path", "burst").applyInPandas(run, OUT)
 
 
 def debounced_stream(events: DataFrame, delay: float = DELAY, processing: str = "ProcessingTimeTimeout") -> DataFrame:
