@@ -313,3 +313,43 @@ def test_tree_depth():
 
     tree = Node("file", Node("if", Node("line"), Node("for", Node("if"))), Node("while"))
     assert common.nesting_depth(tree, lambda n: n.kind in ("if", "for", "while")) == 3 and common.nesting_depth(Node("x"), lambda n: False) == 0
+
+
+def test_configuration():
+    from quarry.config import Config, EmbeddingConfig, ProjectConfig
+
+    c = Config.from_env({"PROJECT_NAME": "alpha", "REPOSITORY_PATH": "/x/y", "EMBEDDING_PROVIDER": "voyage", "EMBEDDING_DIMENSIONS": "8", "STORE_PATH": "/s"})
+    assert (c.project.name, c.project.root, c.embedding.provider, c.embedding.dimensions, c.store) == ("alpha", "/x/y", "voyage", 8, "/s")
+    assert ProjectConfig.from_path("/a/my repo!").name == "my_repo_" and EmbeddingConfig.from_env({}) == EmbeddingConfig()
+    with pytest.raises(ValueError):
+        ProjectConfig("not a name")
+
+
+def test_streams_are_kept_by_name(spark, tmp_path):
+    log = str(tmp_path / "log")
+    spark.createDataFrame([("a", "created", datetime(2024, 1, 1))], streaming.EVENT).write.parquet(log)
+    start = lambda: streaming.sink(streaming.read_log(spark, log), lambda a, b: None, str(tmp_path / "c"), "one", every="1 second")
+    q = start()
+    try:
+        assert start().id == q.id and streaming.status(spark, "one")["is_running"]
+    finally:
+        streaming.stop_all(spark)
+    assert not streaming.status(spark, "one")["is_running"] and not spark.streams.active
+
+
+def test_debouncing_in_bursts(spark):
+    r = random.Random(3)
+    t = datetime(2024, 1, 1)
+    rows = [(p, r.choice(["created", "modified", "deleted"]), t + timedelta(seconds=s)) for p in "abc" for s in sorted(round(x, 3) for _ in range(60) for x in [r.choice((r.uniform(0, 40), r.uniform(0, 4000)))])]
+    got = streaming.debounced(spark.createDataFrame(rows, "path string, change_type string, ts timestamp"), 0.5).collect()
+    want = []
+    for p in "abc":
+        mine = sorted(((x[2] - t).total_seconds(), x[1]) for x in rows if x[0] == p)
+        want += [(p, k, round(a, 3), round(e, 3)) for a, k, e in streaming.debounce_rows(mine, 0.5)]
+    assert sorted((x.path, x.change_type, round((x.ts - t).total_seconds(), 3), round((x.emitted - t).total_seconds(), 3)) for x in got) == sorted(want)
+
+
+@pytest.mark.parametrize("text,language", [("import os\n\ndef f(x):\n    return x\n\nclass A:\n    pass\n\n)broken(\n", "python"), ("public class A {\n  private final int x;\n  protected static void f() { System.out.println(1); }\n  public int g() { return 1; }\n", "java"), ("Dear all, (the meeting is moved\nto from import", "unknown")])
+def test_detection_of_broken_sources(text, language):
+    name, confidence = detection.by_syntax(text)
+    assert name == language and (0.5 < confidence <= 1 if language != "unknown" else confidence == 0)
