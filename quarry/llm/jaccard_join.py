@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,23 +144,27 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple, rows: pa.Table) -> pa.Table:
         """One tile. Where it holds two bundles of a group, only links between them count; links inside are the own tile's."""
-        rows = rows.drop_duplicates("digest").sort_values(["grp", "node"], kind="stable").reset_index(drop=True)  # a class may be loaded by several rows that share its id and text
-        sets = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
+        column = {c: rows.column(c).combine_chunks() for c in ("node", "grp", "bundle", "n_copies", "digest", "grams")}
+        node, group, bundle, copies = (column[c].to_numpy() for c in ("node", "grp", "bundle", "n_copies"))
+        # A class may be loaded by several rows that share its id and text.
+        first = {d: k for k, d in reversed([*enumerate(column["digest"].to_pylist())])}
+        at = np.array(sorted(first.values()))
+        at = at[np.lexsort((node[at], group[at]))]
+        node, group, bundle, copies = node[at], group[at], bundle[at], copies[at]
+        sets = [np.frombuffer(column["grams"][k].as_buffer(), np.uint64) for k in at.tolist()]
         both = intersections(sets)
         size = np.array([len(s) for s in sets])
         link = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-        group, bundle = rows["grp"].to_numpy(), rows["bundle"].to_numpy()
         link &= (both > 0) & (group[:, None] == group[None, :])
-        if key[1] != key[2]:
+        if key[1].as_py() != key[2].as_py():
             link &= bundle[:, None] != bundle[None, :]
         np.fill_diagonal(link, False)
         a, b = np.nonzero(np.triu(link))
-        node = rows["node"].to_numpy()
-        links = link.astype(np.float64) @ rows["n_copies"].to_numpy(np.float64)
+        links = link.astype(np.float64) @ copies.astype(np.float64)
         root = _spanning(len(node), a, b)
-        return pd.DataFrame({"node": node, "u": node, "v": node[root], "links": links.astype(np.int64)})
+        return pa.table({"node": node, "u": node, "v": node[root], "links": links.astype(np.int64)})
 
     return verify
 
@@ -214,7 +217,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, r
     loaded = loaded.mapInArrow(_load(n), "node long, grams binary, digest binary, n_copies long, grp long, bundle long, tile long, blocks long")
     dealt = loaded.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("node", "digest", "grams", "n_copies", "grp", "bundle", "tile", F.least("bundle", "other").alias("i"), F.greatest("bundle", "other").alias("j"))
-    found = checkpoint(dealt.groupBy("tile", "i", "j").applyInPandas(_verify(threshold), "node long, u long, v long, links long"))
+    found = checkpoint(dealt.groupBy("tile", "i", "j").applyInArrow(_verify(threshold), "node long, u long, v long, links long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.filter("u <> v").select("u", "v")).select(F.col("id").alias("node"), "component")
     out = classes.select("node", "digest", "first", "n_copies").join(links, "node", "left").join(joined, "node", "left")
