@@ -27,7 +27,7 @@ from quarry.llm.cluster import checkpoint
 SIZE, END = 4096, 1
 #: Rows that share a length and a salt, on average at most. Salts follow each length's own count, so there are no more groups than
 #: lengths and a row for every so many pieces.
-SALT_ROWS = 1_000
+SALT_ROWS = 250
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
