@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import shared_folder
+
 #: A lookup's keys with more rows than HOT_ROWS, the HOT_KEYS most frequent at most, are salted: no other has more than a HOT_KEYS-th of all rows.
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 64
 #: Prefixes of hashes by which rows are let through before a shuffle: a table of this many numbers at most is broadcast.
 PREFIXES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names. One of our own is made only where none is named and all runs in one process, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage: the rows are written to the shared folder, so a lost executor takes nothing along."""
     shared_folder(df.sparkSession)

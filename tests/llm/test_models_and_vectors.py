@@ -227,3 +227,47 @@ def test_repeated_labelled_ids(spark):
     few = spark.createDataFrame([(1, 1), (2, 0)], "id long, y int")
     got = learning.labelled_texts(rows.union(rows), few).collect()
     assert sorted((r.id, r.y) for r in got) == [(1, 1), (2, 0)] and {r.t for r in got if r.id == 2} == {""}
+
+
+@pytest.fixture
+def salted(monkeypatch):
+    """Nearly every key is hot."""
+    monkeypatch.setattr(cluster, "HOT_ROWS", 2)
+    monkeypatch.setattr(cluster, "SALTS", 3)
+
+
+def test_lookup_of_hot_keys(spark, salted):
+    rows = [(k, f"k{k % 7 if k % 3 else 0}") for k in range(60)] + [(99, None), (100, "absent")]
+    table = [(f"k{k}", k * 10) for k in range(7)] + [("unused", 1)]
+    left, right = spark.createDataFrame(rows, "id int, key string"), spark.createDataFrame(table, "key string, v int")
+    want = dict(table)
+    for how, full in (("inner", False), ("left", True)):
+        got = sorted((r.id, r.key, r.v) for r in cluster.lookup(left, right, "key", ["id"], how).collect())
+        assert got == sorted((i, k, want.get(k)) for i, k in rows if full or k in want)
+    semi = cluster.lookup(left, right.select("key"), "key", ["id"], "left_semi").collect()
+    assert sorted(r.id for r in semi) == [i for i, k in rows if k in want]
+    assert cluster.hot_keys(left, "key").count() > 3 and cluster.lookup(left.limit(0), right, "key", ["id"]).count() == 0
+
+
+def test_components_with_hubs(spark, salted):
+    r = random.Random(5)
+    edges = [(0, k) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(70)] + [(k, k + 1) for k in range(400, 430)]
+    root = {x: x for e in edges for x in e}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {x.id: x.component for x in cluster.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: find(k) for k in root}
+
+
+def test_vectors_with_hot_keys(spark, salted):
+    rng = np.random.default_rng(12)
+    rows = [(k, (np.array([1.0, 0.3, 0.2]) + rng.normal(size=3) * rng.choice([0.0, 0.02, 0.6])).tolist(), k % 5 // 2) for k in range(150)]
+    got = cover_tree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=25).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute_vectors(rows)

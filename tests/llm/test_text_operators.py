@@ -657,3 +657,39 @@ def test_jaccard_ids_of_other_types(spark):
     got = sorted(((r.doc_id, r.n_links, r.component_id) for r in jaccard_join.jaccard_join(table).collect()), key=str)
     assert got == [("a", 2, "a"), ("b", 2, "a"), ("c", 0, "c"), (None, 2, "a")]
     assert sorted(r.doc_id for r in jaccard_join.keep_one(table).collect()) == ["a", "c"]
+
+
+def test_jaccard_with_hot_keys(spark, monkeypatch):
+    from quarry.llm import cluster
+
+    monkeypatch.setattr(cluster, "HOT_ROWS", 2)
+    monkeypatch.setattr(cluster, "SALTS", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 2)
+    monkeypatch.setattr(jaccard_join, "BUNDLE_DOCS", 6)
+    r = random.Random(11)
+    base = long_text(200, 60).split()
+    rows = [(k, " ".join(base)) for k in range(12)] + [(20 + k, "") for k in range(6)] + [(None, " ".join(base))] * 3
+    for k in range(16):
+        w = list(base)
+        for _ in range(r.choice((1, 2, 6))):
+            w[r.randrange(len(w))] = f"new{r.random()}"
+        rows.append((100 + k, " ".join(w)))
+    got = jaccard_join.jaccard_join(docs(spark, rows)).collect()
+    with_id = [(i, t) for i, t in rows if i is not None]
+    low = {i: c for i, _, c in jaccard(with_id)}
+    sets = [grams(t) for _, t in rows]
+    links = [sum(a != b and bool(x) and 10 * len(x & y) >= 8 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    assert sorted(((x.doc_id, x.n_links, x.component_id) for x in got), key=str) == sorted(((i, n, low.get(i, 0)) for (i, _), n in zip(rows, links, strict=True)), key=str)
+    kept = sorted(x.doc_id for x in jaccard_join.keep_one(docs(spark, rows)).collect())
+    assert kept == sorted(set(low.values()))
+
+
+def test_intersections_by_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        m, top = int(rng.integers(2, 70)), int(rng.choice([20, 400, 5000]))
+        sets = [np.unique(rng.integers(0, top, size=int(rng.integers(1, 200))).astype(np.uint64)) for _ in range(m)]
+        got = jaccard_join.intersections(sets)
+        for a in range(m):
+            for b in range(m):
+                assert got[a, b] == (0 if a == b else len(np.intersect1d(sets[a], sets[b])))
