@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -62,20 +63,54 @@ def debounce_rows(events: list[tuple[float, str]], delay: float = DELAY) -> list
 OUT = "path string, change_type string, ts timestamp, emitted timestamp"
 
 
-def debounced(events: DataFrame, delay: float = DELAY) -> DataFrame:
-    """Batch form. A pause of twice the delay leaves nothing behind that a later event could meet, so what lies between such pauses is a group."""
-    order = Window.partitionBy("path").orderBy("ts", "change_type")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    pause = F.coalesce(at - F.lag(at).over(order) >= int(2 * delay * 1e6) + 1, F.lit(False))
-    bursts = events.select("path", "change_type", "ts", pause.cast("long").alias("pause")).withColumn("burst", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("pause")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "change_type"], kind="stable")
-        got = debounce_rows([(t.timestamp(), k) for t, k in zip(rows["ts"], rows["change_type"], strict=True)], delay)
-        stamp = lambda x: pd.Timestamp(round(x * 1e6), unit="us")
-        return pd.DataFrame({"path": [key[0]] * len(got), "change_type": [g[1] for g in got], "ts": [stamp(g[0]) for g in got], "emitted": [stamp(g[2]) for g in got]})
+#: Events of a path that are worked through in one go, rounded up to the next long pause.
+STRETCH = 10_000
+
 
-    return bursts.groupBy("path", "burst").applyInPandas(run, OUT)
+def debounced(events: DataFrame, delay: float = DELAY) -> DataFrame:
+    """Batch form: one pass over events in order, with what ``debounce_rows`` holds of a path as the only state.
+
+    A pause of twice the delay leaves nothing behind that a later event could meet, so a path with many events is dealt over stretches that begin
+    after such pauses.
+    """
+    wait = round(delay * 1e6)
+    order = Window.partitionBy("path").orderBy("t", "change_type")
+    rows = events.select("path", "change_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rows = rows.withColumns({"n": F.row_number().over(order), "pause": F.coalesce(F.col("t") - F.lag("t").over(order) > 2 * wait, F.lit(False))})
+    start = F.coalesce(F.max(F.when(F.col("pause"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = rows.select("path", F.floor(start / STRETCH).alias("stretch"), "t", "change_type")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, held = None, None, None
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = [*zip(*out, strict=True)] if out else [(), (), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["path", "change_type", "t", "e"])
+
+        for batch in batches:
+            for path, stretch, t, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (path, stretch) != at:
+                    if held is not None:
+                        out.append((at[0], held[1], held[0], last + wait))
+                    at, last, held = (path, stretch), None, None
+                if held is not None and t >= last + wait:
+                    out.append((path, held[1], held[0], last + wait))
+                    last, held = last + wait, None
+                if last is None or t - last >= wait:
+                    out.append((path, kind, t, t))
+                    last, held = t, None
+                else:
+                    held = (t, kind)
+            yield flush()
+        if held is not None:
+            out.append((at[0], held[1], held[0], last + wait))
+        yield flush()
+
+    dealt = rows.repartition("path", "stretch").sortWithinPartitions("path", "stretch", "t", "change_type")
+    got = dealt.mapInArrow(run, "path string, change_type string, t long, e long")
+    return got.select("path", "change_type", F.timestamp_micros("t").alias("ts"), F.timestamp_micros("e").alias("emitted"))
 
 
 def debounced_stream(events: DataFrame, delay: float = DELAY, processing: str = "ProcessingTimeTimeout") -> DataFrame:

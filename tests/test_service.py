@@ -337,7 +337,9 @@ def test_streams_are_kept_by_name(spark, tmp_path):
     assert not streaming.status(spark, "one")["is_running"] and not spark.streams.active
 
 
-def test_debouncing_in_bursts(spark):
+@pytest.mark.parametrize("stretch", [10_000, 7])
+def test_debouncing_in_bursts(spark, monkeypatch, stretch):
+    monkeypatch.setattr(streaming, "STRETCH", stretch)
     r = random.Random(3)
     t = datetime(2024, 1, 1)
     rows = [(p, r.choice(["created", "modified", "deleted"]), t + timedelta(seconds=s)) for p in "abc" for s in sorted(round(x, 3) for _ in range(60) for x in [r.choice((r.uniform(0, 40), r.uniform(0, 4000)))])]
