@@ -150,7 +150,8 @@ class WordBpe:
                 continue
             words = _SPLIT.findall(t.lower())
             split.append(words)
-            unseen.update(w for w in words if w not in cache)
+            unseen.update(words)
+        unseen = {w for w in unseen if w not in cache}
         if unseen:
             fresh = [w for w in unseen if len(w) <= _MAX_WORD]
             cache.update(zip(fresh, self.merge([w.encode() for w in fresh]), strict=True))
