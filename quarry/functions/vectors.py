@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,15 @@ def index_score(cos: Column) -> Column:
     return (1 + cos) / 2
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once; an expression used inside a lambda is computed for every element otherwise."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(a: Column, zero_to_zeros: bool = True) -> Column:
     """Unit length; a vector of length 0 becomes zeros, or stays as it is."""
-    n = norm(a)
-    return F.when(n < 1e-12, F.transform(a, lambda _: F.lit(0.0)) if zero_to_zeros else F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    zeros = lambda v: F.transform(v, lambda x: F.lit(0.0) if zero_to_zeros else x.cast("double"))
+    return once(a, lambda v: once(norm(v), lambda n: F.when(n < 1e-12, zeros(v)).otherwise(F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def weighted(a: Column, weights: list[float]) -> Column:
