@@ -106,9 +106,11 @@ class Advice:
         return F.when(test & (F.col("language") == self.language) if self.language else test, said)
 
 
+#: Fixed value in the condition.
+HIGH_AVERAGE = Advice("average_complexity > 10", "format_string('Functions average %.1f decision paths: split the larger ones', average_complexity)")
 #: Fixed values in the conditions: the bounds that make a file or function worth a word. In order of urgency.
 ADVICE = [
-    Advice("average_complexity > 10", "format_string('Functions average %.1f decision paths: split the larger ones', average_complexity)"),
+    HIGH_AVERAGE,
     Advice("maintainability_index < 20", "'Hard to maintain (index under 20): plan a rewrite of the worst parts'"),
     Advice("maintainability_index >= 20 AND maintainability_index < 40", "'Maintainability index under 40: simplify where changes are frequent'"),
     Advice("f.depth > 4", "format_string('%d deeply nested (more than 4 levels): return early or move inner blocks out', {n})", per=True),
@@ -123,12 +125,12 @@ ADVICE = [
 NAMED, LISTED = (20, 10), 3
 
 
-def recommendations(rows: DataFrame) -> DataFrame:
-    """Add ``recommendations`` to summary rows: the functions to work on, then what ``ADVICE`` says; a good word where there is neither."""
+def recommendations(rows: DataFrame, advice: list[Advice] = ADVICE) -> DataFrame:
+    """Add ``recommendations`` to summary rows: the functions to work on, then what ``advice`` says; a good word where there is neither."""
     top, next_ = (f"filter(functions, f -> f.complexity > {low} {upto})" for low, upto in ((NAMED[0], ""), (NAMED[1], f"AND f.complexity <= {NAMED[0]}")))
     say = lambda found, how: f"transform(slice({found}, 1, {LISTED}), f -> format_string('{how}: %s (%d)', f.name, f.complexity))"
     named = F.expr(f"CASE WHEN size({top}) > 0 THEN {say(top, 'Split now')} ELSE {say(next_, 'Split when next changed')} END")
-    said = F.concat(named, F.array_compact(F.array(*(x.text() for x in ADVICE))))
+    said = F.concat(named, F.array_compact(F.array(*(x.text() for x in advice))))
     none = F.array().cast("array<string>")
     fine = F.when(F.col("complexity_grade").isin("A", "B"), F.array(F.lit("Nothing to improve here"))).otherwise(none)
     return rows.withColumn("recommendations", F.when(F.col("error").isNotNull(), none).when(F.size(said) == 0, fine).otherwise(said))

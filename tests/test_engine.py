@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import queries
-from quarry.operators import changes
+from quarry.operators import changes, complexity
+from quarry.plans import samples
 from quarry.plans.api import Tools
 from quarry.plans.embedding import HashProvider, RemoteProvider, create_provider, xxh64
 from quarry.sources import scan
@@ -207,3 +208,20 @@ def test_without_the_llm_folders(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'repo_stats' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+@pytest.mark.parametrize("ids", [[5627, 9467, 24827], range(15, 45)])
+def test_recommendations_beyond_the_small_tables(spark, tmp_path, ids):
+    """The first ids average above 10, which no document of the small tables does."""
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = queries.QUERIES["complexity_recommendations"](spark, str(tmp_path)).select("doc_id", "recommendations").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT doc_id, recommendations FROM ({queries.ORACLE['complexity_recommendations']})").fetchall())
+
+
+def test_advice_gives_the_average_and_can_be_reworded(spark):
+    files = samples.sources(spark.createDataFrame([(5627,)], "doc_id long"))
+    rows = complexity.summary(complexity.analyze_files(files, ["doc_id"]), ["doc_id"])
+    assert complexity.recommendations(rows).first().recommendations == ["Split when next changed: String.f (20)", "Functions average 10.5 decision paths: split the larger ones"]
+    assert complexity.recommendations(rows, [complexity.Advice("total_complexity > 1", "'some'")]).first().recommendations == ["Split when next changed: String.f (20)", "some"]
